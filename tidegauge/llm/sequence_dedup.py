@@ -35,7 +35,7 @@ BLOB_SCHEMA = pa.schema([("shard", pa.int32()), ("payload", pa.binary())])
 #: Anchors that a task gathers before it sends them on.
 FLUSH = 1 << 20
 #: Shards and document buckets for each shuffle partition.
-SPREAD = 4
+SPREAD = 1
 
 
 def keyed(docs: DataFrame, buckets: int, *carry: str) -> DataFrame:
