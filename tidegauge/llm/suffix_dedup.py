@@ -143,10 +143,17 @@ def judge(window: int, buckets: int, batch: int):
             raw, size, key, doc, bucket, first = gathered(payloads, *CONTEXT)
             size = size.astype(np.int64)
             begin = np.cumsum(size) - size
-            order = np.argsort(doc, kind="stable")
+            # a stretch that an earlier document has just so is settled; the family takes one of each kind
+            kind, start = grouped(spans(BYTE_SYMBOLS[raw], begin, begin + size))
+            least = np.empty(len(doc), dtype=np.int64)
+            least[kind] = np.repeat(np.minimum.reduceat(doc[kind], start), np.diff(np.append(start, len(kind))))
+            settled = np.flatnonzero(doc > least)
+            order = np.flatnonzero(doc == least)
+            order = order[np.argsort(doc[order], kind="stable")]
             n = size[order] - window + 1  # windows
             upto = np.cumsum(n)
-            family, i, out = SuffixFamily(), 0, []
+            family, i = SuffixFamily(), 0
+            out = [(key[settled], bucket[settled], first[settled].astype(np.int64), first[settled].astype(np.int64) + size[settled] - window)]
             strings = np.lib.stride_tricks.sliding_window_view(raw, window)
             while i < len(order):
                 j = int(np.searchsorted(upto, (upto[i - 1] if i else 0) + batch, "right"))
@@ -166,9 +173,8 @@ def judge(window: int, buckets: int, batch: int):
                     stop = np.append(new[1:], len(at)) - 1
                     out.append((key[o][owner[new]], bucket[o][owner[new]], pos[new], pos[stop]))
                 i = j
-            if out:
-                k, b, a, z = (np.concatenate(x) for x in zip(*out, strict=True))
-                yield from sent([blob(s, k[i], a[i].astype(np.uint32), z[i].astype(np.uint32)) for s, i in slots(b.astype(np.int64), buckets)])
+            k, b, a, z = (np.concatenate(x) for x in zip(*out, strict=True))
+            yield from sent([blob(s, k[i], a[i].astype(np.uint32), z[i].astype(np.uint32)) for s, i in slots(b.astype(np.int64), buckets)])
 
     return fn
 
