@@ -17,6 +17,12 @@ def _tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_curve_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .curve_search import search
+
+    return search(_read(spark, sf_dir, "embeddings"))
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import token_files
 
@@ -53,6 +59,12 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_read(spark, sf_dir, "documents"))
 
 
+def op10_exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .exact_search import search
+
+    return search(_read(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
