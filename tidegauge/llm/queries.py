@@ -59,6 +59,12 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_read(spark, sf_dir, "documents"))
 
 
+def op9_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bloom_lm import score
+
+    return score(_read(spark, sf_dir, "documents"))
+
+
 def op10_exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_search import search
 
