@@ -122,18 +122,23 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
 
-def words(buf: np.ndarray, lengths: np.ndarray, lower: bool = False):
+#: Bytes that aren't part of a run of letters and digits (all bytes of characters beyond ASCII count as letters).
+NOT_LETTERS = np.ones(256, dtype=bool)
+NOT_LETTERS[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
+
+
+def words(buf: np.ndarray, lengths: np.ndarray, lower: bool = False, between: np.ndarray = WHITE):
     """Words of concatenated texts: (hash of each, start, end, words per text).
 
-    A word is a maximal run of bytes other than space and 0x09-0x0D within one
-    text; ``lower`` folds A-Z first.
+    A word is a maximal run of bytes other than those ``between`` within one
+    text: space and 0x09-0x0D if not given; ``lower`` folds A-Z first.
     """
     if not len(buf):
         e = np.empty(0, dtype=np.int64)
         return e.astype(U), e, e, np.zeros(len(lengths), dtype=np.int64)
     if lower:
         buf = LOWER[buf]
-    solid = ~WHITE[buf]
+    solid = ~between[buf]
     begins = solid.copy()
     begins[1:] &= ~solid[:-1]
     stops = solid.copy()
