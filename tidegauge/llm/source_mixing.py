@@ -81,7 +81,7 @@ def picked(upto: Column, n: Column, r: Column, phase: Column) -> Column:
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, max_repeats: int = 2, block: int = BLOCK, seed: int = 17, shards: int = SHARDS) -> DataFrame:
-    """One row per row of ``docs``: doc_id, source, size, source_size, weight, target, quota, taken.
+    """One row per row of ``docs``: doc_id, source, size, source_size, weight, target, quota, taken, text_key (xxhash64 of the text).
 
     ``taken`` is how many words the mix takes from the document, repeats
     counted: never over max_repeats times its size. Null or empty texts have
@@ -114,7 +114,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
         return full * block + (at - b * block) * (picked(b + 1, n, F.col("rest"), phase) - full)
 
     taken = F.when(F.col("size") > 0, F.col("whole") * F.col("size") + words_before(F.col("end")) - words_before(F.col("start"))).otherwise(F.lit(0))
-    return d.select("doc_id", "source", "size", "source_size", "weight", "target", "quota", taken.cast("long").alias("taken"))
+    return d.select("doc_id", "source", "size", "source_size", "weight", "target", "quota", taken.cast("long").alias("taken"), F.col("_t").alias("text_key"))
 
 
 def _few(shard_plan: DataFrame, most: int = 50_000) -> bool:
