@@ -1,6 +1,7 @@
 """Predicates over tags and fields, compiled to Columns.
 
-An absent key makes every comparison false, != too. Text never equals a number;
+An absent key makes every comparison null, != too, which a filter drops like
+false; there is no NOT that could tell the two apart. Text never equals a number;
 to order the two is an error where the column's type is known, and drops the
 point where it isn't. NaN is equal to nothing and in no order.
 """
@@ -38,12 +39,12 @@ class Comparison:
             return self._of_point(rel)
         tag = rel.tag(self.key) if self.on != "field" else None
         if tag is not None:
-            return _false_if_null(_text(tag, self.op, self.value))
+            return _text(tag, self.op, self.value)
         found = rel.field(self.key) if self.on != "tag" else None
         if found is None:
             return F.lit(False)
         c, kind = found
-        return _false_if_null(_number(c, self.op, self.value) if kind == "number" else _truth(c, self.op, self.value) if kind == "boolean" else _text(c, self.op, self.value))
+        return _number(c, self.op, self.value) if kind == "number" else _truth(c, self.op, self.value) if kind == "boolean" else _text(c, self.op, self.value)
 
     def _of_point(self, rel: PointRelation) -> Column:
         tag = _text(rel.tag(self.key), self.op, self.value, strict=False)
@@ -56,14 +57,10 @@ class Comparison:
             .when(kind == "BOOLEAN", _truth(text == "true", self.op, self.value))
         )
         if self.on == "tag":
-            return _false_if_null(tag)
+            return tag
         if self.on == "field":
-            return _false_if_null(field)
-        return _false_if_null(F.when(rel.tag(self.key).isNotNull(), tag).otherwise(field))
-
-
-def _false_if_null(c: Column) -> Column:
-    return F.coalesce(c, F.lit(False))
+            return field
+        return F.when(rel.tag(self.key).isNotNull(), tag).otherwise(field)
 
 
 def _differ(c: Column, op: str, strict: bool = True) -> Column:
@@ -84,11 +81,9 @@ def _text(c: Column, op: str, value: object, strict: bool = True) -> Column:
 def _number(c: Column, op: str, value: object, strict: bool = True) -> Column:
     if isinstance(value, str):
         return _differ(c, op, strict)
-    if isinstance(value, bool):
-        value = int(value)
-    nan = F.isnan(c.cast("double"))
-    plain = OPERATORS[op](c, F.lit(value))
-    return F.when(nan, F.lit(op == "!=")).otherwise(plain) if op in ("!=", ">", ">=") else plain & ~nan
+    plain = OPERATORS[op](c, F.lit(int(value) if isinstance(value, bool) else value))
+    # NaN is Spark's greatest number, so only these two would take it
+    return plain & ~F.isnan(c.cast("double")) if op in (">", ">=") else plain
 
 
 def _truth(c: Column, op: str, value: object) -> Column:
