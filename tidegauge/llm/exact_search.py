@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from .common import by_key, materialize, n_parts, pack, prepare, unpack
 from .vectors import best, dimension, matrices
 
+#: Less than any score.
+NONE = -(1 << 62)
 #: Rows of a chunk, of a step within it, of a query block, and of the head of longest vectors.
 CHUNK, STEP, QUERIES, HEAD = 8192, 1024, 1024, 2048
 
@@ -156,8 +158,8 @@ def search(vectors: DataFrame, queries: str = "vec_id % 50 = 0", k: int = 5, sca
             for i in range(0, len(ids), QUERIES):
                 qid, q = ids[i : i + QUERIES], np.floor(x[i : i + QUERIES] * scale).astype(np.int64)
                 score = products(q, head)
-                least = np.full(len(qid), np.iinfo(np.int64).min)
-                score[qid[:, None] == hid[None, :]] = least[0]
+                least = np.full(len(qid), NONE)
+                score[qid[:, None] == hid[None, :]] = NONE
                 if len(hid) > k:
                     least = np.take_along_axis(score, best(score, k), 1).min(axis=1)
                 length = np.sqrt((q.astype(np.float64) ** 2).sum(axis=1))
