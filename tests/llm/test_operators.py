@@ -84,6 +84,12 @@ def test_jaccard_join(docs, rows, nothing):
     assert jaccard_join.join(nothing).count() == 0
 
 
+@pytest.mark.parametrize("limits", [(3, 2), (1, 1), (6, 5)])
+def test_regions_beyond_the_limits(spark, docs, rows, limits):
+    """Regions and clusters dealt to several tasks give the same classes."""
+    assert got(jaccard_join.join(docs, limits), "doc_id", "n_shingles", "component_id") == sorted(brute.jaccard(pairs(rows)), key=key)
+
+
 def test_jaccard_join_at_the_threshold(spark):
     words = [f"w{i}" for i in range(400)]
     texts = [" ".join(words[a : a + 40]) for a in range(0, 60)] + [" ".join(words[a : a + 100] + [f"x{a}"]) for a in range(0, 30, 2)]

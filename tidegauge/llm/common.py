@@ -39,11 +39,11 @@ def prepare(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, free: bool = True) -> DataFrame:
     """Writes df to the shared folder and reads it back: lineage is cut.
 
     Lost executors don't lose the rows. The shuffle files behind df are of no
-    more use and are released.
+    more use and are released, unless ``free`` is false for small ones.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidegauge-{uuid.uuid4().hex}/{name}"
@@ -51,7 +51,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(schema).parquet(path)
     del df
-    release(spark)
+    if free:
+        release(spark)
     return out
 
 
