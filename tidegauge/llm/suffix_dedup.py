@@ -67,6 +67,13 @@ def bytes_as_symbols(buf: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray,
     return BYTE_SYMBOLS[buf], lengths
 
 
+def _contents(raw: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A fingerprint of each of the stretches that lie one after another in ``raw``, a piece of them at a time."""
+    off = np.append(0, np.cumsum(size))
+    parts = [spans(BYTE_SYMBOLS[raw[off[i] : off[j]]], off[i:j] - off[i], off[i + 1 : j + 1] - off[i]) for i, j in pieces(off)]
+    return np.concatenate([np.empty(0, dtype=U), *parts])
+
+
 CONTEXT = (np.uint8, np.uint16, U, np.int64, np.int32, np.uint32)  # bytes, their number, document key, doc_id, bucket, first start
 MARK = (np.uint32, np.uint32)
 
@@ -144,7 +151,7 @@ def judge(window: int, buckets: int, batch: int):
             size = size.astype(np.int64)
             begin = np.cumsum(size) - size
             # a stretch that an earlier document has just so is settled; the family takes one of each kind
-            kind, start = grouped(spans(BYTE_SYMBOLS[raw], begin, begin + size))
+            kind, start = grouped(_contents(raw, size))
             least = np.empty(len(doc), dtype=np.int64)
             least[kind] = np.repeat(np.minimum.reduceat(doc[kind], start), np.diff(np.append(start, len(kind))))
             settled = np.flatnonzero(doc > least)
