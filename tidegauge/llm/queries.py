@@ -58,7 +58,7 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .source_mixing import mix
 
-    return mix(_read(spark, sf_dir, "documents"))
+    return mix(_read(spark, sf_dir, "documents")).drop("text_key")
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,10 +21,16 @@ SHARDS = 64
 BLOCK = 16
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size): size is the number of words, 0 for a null text."""
-    n = F.regexp_count(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(WORD)).cast("long")
-    return docs.select("doc_id", F.col("source").cast("string").alias("source"), n.alias("size"), F.xxhash64("text").alias("_t"))
+def _digits(hexadecimal: str | Column, start: int, n: int) -> Column:
+    """A number from some digits of a column of hexadecimal text."""
+    return F.conv(F.substring(hexadecimal, start, n), 16, 10).cast("long")
+
+
+def sized(docs: DataFrame, seed: int) -> DataFrame:
+    """(doc_id, source, size, text key, seeded MD5): size is the number of words, 0 for a null text."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    draw = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(text)))
+    return docs.select("doc_id", F.col("source").cast("string").alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), F.xxhash64("text").alias("_t"), draw.alias("_m"))
 
 
 def weighted(sources: DataFrame, weights: tuple[float, ...]) -> DataFrame:
@@ -88,8 +94,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     size 0 and nothing is taken from them; a null source is one more source,
     the last. Repeated rows count each. Reruns give the same numbers.
     """
-    d = materialize(sized(docs), "sizes")
-    d = d.withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "_t")).withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), "h"), F.lit(shards)))
+    d = materialize(sized(docs, seed), "sizes")
+    d = d.withColumn("h", _digits("_m", 1, 15)).withColumn("shard", _digits("_m", 16, 8) % shards)
     part = d.groupBy("source", "shard").agg(F.sum("size").cast("long").alias("shard_size"))
     sources = part.groupBy("source").agg(F.sum("shard_size").alias("source_size"))
     plan = materialize(apportioned(targeted(weighted(sources, weights), share, max_repeats), block, max_repeats), "plan")
@@ -105,7 +111,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     n, block_ = F.col("blocks"), F.lit(block)
     d = d.withColumn("start", F.col("shard_start") + F.col("in_shard")).withColumn("end", F.col("start") + F.col("size"))
     d = d.withColumn("whole", F.when(n > 0, F.floor(F.col("quota") / n)).otherwise(F.lit(0)).cast("long")).withColumn("rest", F.when(n > 0, F.col("quota") % n).otherwise(F.lit(0)))
-    phase = F.when(n > 0, F.pmod(F.xxhash64(F.lit(seed + 2), "source"), n)).otherwise(F.lit(0))
+    phase = F.when(n > 0, _digits(F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce("source", F.lit("")))), 1, 15) % n).otherwise(F.lit(0))
 
     def words_before(at: Column) -> Column:
         """Words of the picked blocks that lie before the position ``at``."""
