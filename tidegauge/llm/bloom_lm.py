@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import LAST_ID, by_key, ids_of, materialize, n_parts, pieces, prepare, runs, slots, text_arrays, texts
+from .common import LAST_ID, by_key, ids_of, materialize, n_shards, pieces, prepare, runs, slots, text_arrays, texts
 from .seqhash import U, mix, words
 from .sequence_dedup import BLOB, blob, gathered, null_id, opened, sent
 
@@ -160,8 +160,8 @@ def score(docs: DataFrame, folds: int = 7, held_fold: int = 2, bits: int = BITS)
     """
     spark = docs.sparkSession
     prepare(spark)
-    n = n_parts(spark)
     d = texts(docs)
+    n = n_shards(d)
     segments = n
 
     def count(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -68,6 +68,19 @@ def n_parts(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+#: Bytes of text behind one shard or bucket at most: what a task gathers of it is of the same order.
+SHARD_BYTES = 256 << 20
+
+
+def n_shards(docs: DataFrame) -> int:
+    """Shards for a table of texts: as many as shuffle partitions, and more where these would hold over SHARD_BYTES each.
+
+    One pass over the lengths, so that memory per task doesn't hang on a setting.
+    """
+    size = docs.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0
+    return max(n_parts(docs.sparkSession), -(-size // SHARD_BYTES))
+
+
 def texts(docs: DataFrame, *more: str) -> DataFrame:
     """(doc_id, text) and ``more``; a null text is empty."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *more)

@@ -20,9 +20,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import by_key, ids_of, materialize, n_parts, pieces, prepare, runs, text_arrays, texts
+from .common import by_key, ids_of, materialize, n_shards, pieces, prepare, runs, text_arrays, texts
 from .seqhash import U, grams, mix, spans, words
-from .sequence_dedup import BLOB, SPREAD, Anchors, ByDocument, beside, blob, covered, gathered, grouped, key_of, null_id, recurring, sent, slots
+from .sequence_dedup import BLOB, Anchors, ByDocument, beside, blob, covered, gathered, grouped, key_of, null_id, recurring, sent, slots
 from .suffix_dedup import MARK
 
 #: Words of an anchor phrase.
@@ -197,8 +197,8 @@ def dedup(docs: DataFrame, window: int = 50, gram: int = GRAM, keep_text: bool =
     """
     spark = docs.sparkSession
     prepare(spark)
-    n = n_parts(spark)
-    buckets, d = n * SPREAD, texts(docs)
+    d = texts(docs)
+    n = buckets = n_shards(d)
     anchors = Anchors(words_as_symbols, gram, window)
     again = materialize(recurring(d, anchors, buckets), "recurring")
     passages = beside(d, again, buckets, lambda bucket: Passages(bucket, anchors, buckets), BLOB)

@@ -27,15 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LAST_ID, by_key, ids_of, materialize, n_parts, pack, pieces, runs, slots, text_arrays, unpack
+from .common import LAST_ID, by_key, ids_of, pack, pieces, runs, slots, text_arrays, unpack
 from .seqhash import U, minimizers, mix
 
 BLOB = "shard int, payload binary"
 BLOB_SCHEMA = pa.schema([("shard", pa.int32()), ("payload", pa.binary())])
 #: Anchors that a task gathers before it sends them on.
 FLUSH = 1 << 20
-#: Shards and document buckets for each shuffle partition.
-SPREAD = 1
 
 
 def keyed(docs: DataFrame, buckets: int, *carry: str) -> DataFrame:
@@ -99,8 +97,7 @@ def grouped(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def recurring(docs: DataFrame, anchors: Anchors, buckets: int) -> DataFrame:
     """Blobs (bucket; row, doc, position): the anchors that occur in other documents as well."""
-    n = n_parts(docs.sparkSession)
-    shards = n * SPREAD
+    n = shards = buckets
 
     def find(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, owners, size, seen = [], [], 0, 0
@@ -175,7 +172,7 @@ def beside(docs: DataFrame, blobs: DataFrame, buckets: int, make: Callable, sche
     ``docs(row, doc_id, text, *carry)``, and ``end()``. The latter two give
     batches of the result.
     """
-    n = n_parts(docs.sparkSession)
+    n = buckets
     d = keyed(docs, buckets, *carry).withColumns({"kind": F.lit(1), "payload": F.lit(None).cast("binary")})
     b = blobs.withColumns({"kind": F.lit(0)} | {f.name: F.lit(None).cast(f.dataType) for f in d.schema if f.name not in ("bucket", "kind", "payload")})
     both = d.unionByName(b)

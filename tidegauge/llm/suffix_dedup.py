@@ -17,9 +17,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import by_key, ids_of, materialize, n_parts, pieces, prepare, runs, text_arrays, texts
+from .common import by_key, ids_of, materialize, n_shards, pieces, prepare, runs, text_arrays, texts
 from .seqhash import BYTE_SYMBOLS, U, spans
-from .sequence_dedup import BLOB, SPREAD, Anchors, ByDocument, beside, blob, covered, gathered, grouped, key_of, null_id, recurring, sent, slots
+from .sequence_dedup import BLOB, Anchors, ByDocument, beside, blob, covered, gathered, grouped, key_of, null_id, recurring, sent, slots
 
 #: Bytes of an anchor; a window of 50 bytes has 31 of these grams.
 GRAM = 20
@@ -237,8 +237,8 @@ def dedup(docs: DataFrame, window: int = 50, gram: int = GRAM, batch: int = BATC
     """
     spark = docs.sparkSession
     prepare(spark)
-    n = n_parts(spark)
-    buckets, d = n * SPREAD, texts(docs, *carry)
+    d = texts(docs, *carry)
+    n = buckets = n_shards(d)
     anchors = Anchors(bytes_as_symbols, gram, window)
     again = materialize(recurring(d, anchors, buckets), "recurring")
     stretches = beside(d, again, buckets, lambda bucket: Stretches(bucket, anchors, buckets), BLOB)
