@@ -50,12 +50,21 @@ def materialize(df: DataFrame, name: str, free: bool = True) -> DataFrame:
     schema = df.schema
     df.write.parquet(path)
     out = spark.read.schema(schema).parquet(path)
+    out.kept_at = path
     del df
     if free:
         release(spark)
     return out
 
 
+def discard(*tables: DataFrame) -> None:
+    """Deletes materialized tables that nothing reads any more."""
+    for t in tables:
+        spark = t.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(t.kept_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path.getParent(), True)
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark's cleaner remove the shuffle files of unreachable plans."""
     for _ in range(2):  # the first lets go of Python's handles, the second finds the plans unreachable

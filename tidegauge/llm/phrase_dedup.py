@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import by_key, ids_of, materialize, n_shards, pieces, prepare, runs, text_arrays, texts
+from .common import by_key, discard, ids_of, materialize, n_shards, pieces, prepare, runs, text_arrays, texts
 from .seqhash import U, grams, mix, spans, words
 from .sequence_dedup import BLOB, Anchors, ByDocument, beside, blob, covered, gathered, grouped, key_of, null_id, recurring, sent, slots
 from .suffix_dedup import MARK
@@ -203,5 +203,6 @@ def dedup(docs: DataFrame, window: int = 50, gram: int = GRAM, keep_text: bool =
     again = materialize(recurring(d, anchors, buckets), "recurring")
     passages = beside(d, again, buckets, lambda bucket: Passages(bucket, anchors, buckets), BLOB)
     marks = materialize(by_key(passages, n, "shard", judge(buckets), BLOB).withColumnRenamed("shard", "bucket"), "marks")
+    discard(again)
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", text string" * keep_text
     return beside(d, marks, buckets, lambda bucket: Cut(window, keep_text), schema)

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import by_key, ids_of, materialize, n_shards, pieces, prepare, runs, text_arrays, texts
+from .common import by_key, discard, ids_of, materialize, n_shards, pieces, prepare, runs, text_arrays, texts
 from .seqhash import BYTE_SYMBOLS, U, spans
 from .sequence_dedup import BLOB, Anchors, ByDocument, beside, blob, covered, gathered, grouped, key_of, null_id, recurring, sent, slots
 
@@ -243,6 +243,7 @@ def dedup(docs: DataFrame, window: int = 50, gram: int = GRAM, batch: int = BATC
     again = materialize(recurring(d, anchors, buckets), "recurring")
     stretches = beside(d, again, buckets, lambda bucket: Stretches(bucket, anchors, buckets), BLOB)
     marks = materialize(by_key(stretches, n, "shard", judge(window, buckets, batch), BLOB).withColumnRenamed("shard", "bucket"), "marks")
+    discard(again)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     if keep_text:
         schema += ", text string" + "".join(f", `{c}` {d.schema[c].dataType.simpleString()}" for c in carry)
