@@ -90,3 +90,23 @@ def regular(df: DataFrame, time: str, *keys: str) -> DataFrame:
     """(keys, regular): whether all gaps between times, to a microsecond, are alike."""
     gap = F.round(F.col(time) - F.lag(time).over(W.partitionBy(*keys).orderBy(time)), 6)
     return df.withColumn("_gap", gap).groupBy(*keys).agg((F.countDistinct("_gap") <= 1).alias("regular"))
+
+
+def potential(df: DataFrame, time: str, tags: tuple[str, ...], fields: tuple[str, ...], *series: str) -> DataFrame:
+    """(measure, name, value): distinct values per tag, type per field, and whether times are regular in all series."""
+    one = df.agg(*[F.countDistinct(t).cast("string").alias(f"cardinality|{t}") for t in tags], F.lit(None).cast("string").alias("_"))
+    even = regular(df, time, *series).agg(F.bool_and("regular").cast("string").alias("regular|" + time))
+    kinds = [F.lit(df.schema[f].dataType.simpleString()).alias(f"type|{f}") for f in fields]
+    row = one.crossJoin(even).select(*[F.col(f"`{c}`") for c in [*one.columns[:-1], *even.columns]], *kinds)  # one row each
+    pairs = F.array(*[F.struct(F.lit(c.split("|")[0]).alias("measure"), F.lit(c.split("|")[1]).alias("name"), F.col(f"`{c}`").alias("value")) for c in row.columns])
+    return row.select(F.inline(pairs))
+
+
+def parquet_sizes(df: DataFrame, folder: str, codecs: tuple[str, ...] = ("none", "snappy", "gzip", "zstd")) -> dict[str, int]:
+    """Bytes that a table takes as Parquet with each codec."""
+    out, spark = {}, df.sparkSession
+    for c in codecs:
+        df.write.mode("overwrite").option("compression", c).parquet(f"{folder}/{c}")
+        p = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{c}")
+        out[c] = p.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
+    return out

@@ -67,6 +67,14 @@ class PointStore:
         good.repartition("measurement", "part", F.pmod(F.xxhash64("timestamp"), F.lit(4))).write.mode("append").partitionBy("measurement", "part").parquet(self._points)
         return bad
 
+    def write_batch(self, points: DataFrame, atomic: bool = True, now: float | None = None) -> tuple[str, int, int]:
+        """("success", "partial" or "failure", points written, points refused)."""
+        total = points.count()
+        refused = self.write(points, atomic, now).count()
+        if atomic and refused:
+            return "failure", 0, refused
+        return ("success" if not refused else "partial" if refused < total else "failure"), total - refused, refused
+
     @property
     def _points(self) -> str:
         return f"{self.config.path}/points"

@@ -48,7 +48,8 @@ class _LastSample(StatefulProcessor):
 
 
 def rate(stream: DataFrame, key: str, counter: bool = True) -> DataFrame:
-    """(key, timestamp, value) of a stream of (key, timestamp, value); samples older than the last one seen are passed over."""
+    """(key, timestamp, value) of a stream of (key, timestamp, value); samples older than the last one seen are passed over. Keeps its state in RocksDB."""
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     p = _LastSample(counter)
     p.names = [key]
     return stream.groupBy(key).transformWithStateInPandas(p, f"{key} string, timestamp double, value double", "Append", "None")
