@@ -79,3 +79,57 @@ def test_stream_windows_equal_batch(spark, tmp_path):
     seen = []
     windows.flush_to(stream, lambda b: seen.append(b.count()), f"{tmp_path}/ck").awaitTermination(60)
     assert sum(seen) == 7
+
+
+def test_stream_rates_go_on_across_batches(spark, tmp_path):
+    rows = [("a", 0.0, 0.0), ("a", 10.0, 30.0), ("b", 0.0, 90.0)], [("a", 30.0, 90.0), ("b", 10.0, 100.0), ("b", 20.0, 10.0)]
+    schema = "k string, timestamp double, value double"
+    for i, part in enumerate(rows):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+        q = windows.rate(stream, "k").writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start()
+        q.awaitTermination(120)
+    assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out").collect())) == [("a", 10.0, 3.0), ("a", 30.0, 3.0), ("b", 10.0, 1.0), ("b", 20.0, 1.0)]
+
+
+def test_snapshots(spark, tmp_path):
+    from tidegauge.sources.snapshots import Snapshots
+
+    s = Snapshots(spark, f"file://{tmp_path}/meta")
+    assert s.load("postings") is None
+    table = spark.createDataFrame([("h", "a", "f1")], "k string, v string, location string")
+    assert s.save("postings", table) == 1
+    s.append("postings", spark.createDataFrame([("h", "b", "f2"), ("h", "a", "f1")], table.schema))
+    assert s.load("postings").count() == 2 and s.load("postings", 1).count() == 1
+    assert s.compact("postings") == 2 and s.load("postings").count() == 2 and s.load("postings", 1) is None
+
+
+def test_batch_status(spark, tmp_path):
+    from tidegauge.sources.store import PointStore, StoreConfig, from_rows
+
+    good = {"measurement": "m", "timestamp": 1, "tags": {}, "fields": {"v": 1}}
+    bad = [{**good, "measurement": "../x"}, {**good, "timestamp": -1}, {**good, "fields": {}}]
+    store = PointStore(spark, StoreConfig(f"file://{tmp_path}/s"))
+    assert store.write_batch(from_rows(spark, [good, *bad])) == ("failure", 0, 3)
+    assert store.write_batch(from_rows(spark, [good, *bad]), atomic=False) == ("partial", 1, 3)
+    assert store.write_batch(from_rows(spark, [good])) == ("success", 1, 0)
+    assert sorted(r.reason for r in store.write(from_rows(spark, bad)).collect()) == ["fields", "measurement", "timestamp"]
+    assert store.points().count() == 2
+    with pytest.raises(ValidationError):
+        StoreConfig("x", "1w")
+
+
+def test_workload(spark, tmp_path):
+    from tidegauge.operators import codecs
+    from tidegauge.workload import Timing, compare, points
+
+    w = points(spark, 1000)
+    assert w.df.exceptAll(points(spark, 1000).df).count() == 0
+    assert w.df.selectExpr("count(distinct host)", "count(distinct region)").collect()[0] == (4, 3)
+    same, times = compare("x", w.df.where("host = 'host1'"), w.where(F.col("host") == "host1").df, 1)
+    assert same and times > 0
+    assert Timing("x", (1.0, 2.0, 3.0)).p95 == pytest.approx(2.9)
+    found = {(r.measure, r.name): r.value for r in codecs.potential(w.df, "timestamp", ("host",), ("value",)).collect()}
+    assert found == {("cardinality", "host"): "4", ("regular", "timestamp"): "true", ("type", "value"): "double"}
+    sizes = codecs.parquet_sizes(w.df, f"file://{tmp_path}/c", ("none", "zstd"))
+    assert 0 < sizes["zstd"] < sizes["none"]
