@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..errors import ValidationError
 from ..functions.scalars import bloom_positions
+from ..session import findable
 
 
 def postings(points: DataFrame, tags: dict[str, Column] | Column, location: Column) -> DataFrame:
@@ -143,6 +144,7 @@ class BloomSize:
 
 def bloom_filters(post: DataFrame, size: BloomSize) -> DataFrame:
     """(location, bloom): a filter of "key=value" tokens per location, of fixed size, merged bit by bit map-side."""
+    findable(post.sparkSession)
     bits, hashes = size.bits, size.hashes
 
     @F.pandas_udf("array<int>")

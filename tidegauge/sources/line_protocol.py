@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import ParseError
+from ..session import findable
 
 NAME = re.compile(r"[A-Za-z0-9-][A-Za-z0-9_-]*")
 # Digits of a time to its unit in seconds.
@@ -113,6 +114,8 @@ def read(lines: DataFrame, column: str = "value", now: float | None = None) -> D
     Valid rows have a null ``error``; filter on it for the rejects.
     """
 
+    findable(lines.sparkSession)
+
     def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []

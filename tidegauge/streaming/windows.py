@@ -12,6 +12,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from ..functions.aggregates import aggregate
 from ..model import finite
+from ..session import findable
 
 
 def tumbling(stream: DataFrame, time: str, interval: str, field: str, agg: str | Callable[[Column], Column] = "mean", late: str = "10 minutes", *keys: str) -> DataFrame:
@@ -49,6 +50,7 @@ class _LastSample(StatefulProcessor):
 
 def rate(stream: DataFrame, key: str, counter: bool = True) -> DataFrame:
     """(key, timestamp, value) of a stream of (key, timestamp, value); samples older than the last one seen are passed over. Keeps its state in RocksDB."""
+    findable(stream.sparkSession)
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     p = _LastSample(counter)
     p.names = [key]
