@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import findable
+
 #: Arrow batches between the JVM and Python stay near this many bytes.
 BATCH_BYTES = 8 << 20
 #: Texts are worked on in pieces of about this many bytes; a longer text is a piece of its own.
@@ -35,8 +37,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def prepare(spark: SparkSession) -> None:
-    """Bounds Arrow batches by bytes, as rows here may be blobs or long texts."""
+    """Bounds Arrow batches by bytes, as rows here may be blobs or long texts, and lets workers find this package."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    findable(spark)
 
 
 def materialize(df: DataFrame, name: str, free: bool = True) -> DataFrame:

@@ -91,6 +91,7 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
 
     ids_crc32 is over the ids as little-endian unsigned 32-bit integers.
     """
+    prepare(spark)
     where, path = store.at(f"{folder}/manifest.json")
     with where.open_input_file(path) as f:
         manifest = json.loads(f.read())
