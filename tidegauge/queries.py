@@ -11,9 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .catalog import table_catalog
+from .catalog import Catalog, table_catalog
 from .functions import aggregates, scalars
-from .model import Relation, series_points
+from .model import PointRelation, Relation, series_points
 from .operators import advice, codecs, grouping, metadata, rates, scan
 from .operators.predicates import AND, OR, Comparison, fld, split_for_pushdown, tag
 from .plans import dialect
@@ -393,3 +393,56 @@ def bloom_candidates(s, d):
 @query()
 def xor_encode(s, d):
     return codecs.xor_encode(samples(s, d), "value", ("timestamp", "event_id"), "user_id").select("user_id", "event_id", "xor")
+
+
+@query("select min(ts) as min_ts, max(ts) as max_ts from events")
+def time_bounds(s, d):
+    return metadata.time_bounds(metadata.blocks(rel(s, d).df, F.col("ts"), F.date_format("ts", "yyyyMMdd")))
+
+
+@query("select strftime(o_orderdate, '%Y%m') as location from orders group by 1 having max(o_orderdate) >= timestamp '1996-03-10' and min(o_orderdate) <= timestamp '1996-09-10' and list_contains(list(o_orderstatus), 'F')")
+def partitions_for_query(s, d):
+    o = rel(s, d, "orders")
+    m = metadata.partition_metadata(o.df, scalars.partition_key(F.col("o_orderdate"), "1M"), F.col("o_orderdate").cast("string"), {"o_orderstatus": F.col("o_orderstatus")})
+    return metadata.partitions_for(m, "1996-03-10 00:00:00", "1996-09-10 00:00:00", {"o_orderstatus": "F"}).select("location")
+
+
+@query(f"select distinct tag_value from ({POST}) where tag_key = 'event_type'")
+def tag_value_list(s, d):
+    return metadata.tag_values(posts(s, d), "event_type")
+
+
+@query("select 'tag_' || (row_number() over (order by min(event_id), event_type, user_id) - 1) as tag_ref, event_type, cast(user_id as varchar) as user_id from events group by event_type, user_id")
+def tag_dictionary(s, d):
+    e = rel(s, d)
+    tags, _ = codecs.compress_tags(e.df.select("event_id", tag_map(e).alias("tags")), "tags", "event_id")
+    return tags.select("tag_ref", F.col("tags")["event_type"].alias("event_type"), F.col("tags")["user_id"].alias("user_id"))
+
+
+@query("""with a as (select user_id, epoch_us(ts) - coalesce(lag(epoch_us(ts)) over (partition by user_id order by ts, event_id), 0) d from events),
+z as (select user_id, case when d >= 0 then 2 * d else -2 * d - 1 end z from a)
+select cast(user_id as varchar) as user_id, cast(sum(greatest(1, ceil(length(bin(z)) / 7.0))) as bigint) as bytes from z group by 1""")
+def delta_varint_bytes(s, d):
+    return delta_encode(s, d).groupBy("user_id").agg(F.sum(codecs.varint_bytes(codecs.zigzag(F.col("delta")))).alias("bytes"))
+
+
+@query("select event_type, user_id, value from (select event_type, cast(user_id as varchar) user_id, round(avg(value), 6) as value from events where value > 5 and event_type != 'view' group by 1, 2)")
+def schemaless_group_mean(s, d):
+    """The dialect over points whose tags are a map and whose fields are a VARIANT."""
+    e = rel(s, d)
+    fields = F.try_parse_json(F.to_json(F.struct("value", "k")))
+    p = PointRelation("events", e.df.select(F.lit("events").alias("measurement"), e.seconds.alias("timestamp"), tag_map(e).alias("tags"), fields.alias("fields")))
+    c = Catalog()
+    c.add("events", p)
+    return rounded(dialect.plan("SELECT mean(value) FROM events WHERE value > 5 AND event_type != 'view' GROUP BY event_type, user_id", c), "value")
+
+
+@query("select bucket, cast(count(*) as bigint) as n from (select cast(least(9, greatest(0, floor((l_quantity - 5) / 4))) as integer) as bucket from lineitem) group by 1")
+def histogram_counts(s, d):
+    li = rel(s, d, "lineitem")
+    return aggregates.histogram(li.df, li.number("l_quantity"), 5, 45, 10)
+
+
+@query("select l_returnflag, start, start + 86400 * 30 as \"end\", max(l_tax) as value, count(*) as count from (select l_returnflag, l_tax, floor(epoch_us(l_shipdate) / 1e6 / 2592000) * 2592000 as start from lineitem) group by 1, 2")
+def window_max_30d(s, d):
+    return grouping.tumbling(rel(s, d, "lineitem"), "30d", "l_tax", "max", tags=("l_returnflag",))
