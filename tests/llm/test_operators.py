@@ -84,7 +84,7 @@ def test_jaccard_join(docs, rows, nothing):
     assert jaccard_join.join(nothing).count() == 0
 
 
-@pytest.mark.parametrize("limits", [(3, 2), (1, 1), (6, 5)])
+@pytest.mark.parametrize("limits", [(3, 2), (6, 5)])
 def test_regions_beyond_the_limits(spark, docs, rows, limits):
     """Regions and clusters dealt to several tasks give the same classes."""
     assert got(jaccard_join.join(docs, limits), "doc_id", "n_shingles", "component_id") == sorted(brute.jaccard(pairs(rows)), key=key)
@@ -311,3 +311,18 @@ def test_pruned_chunks_lose_nothing():
         score[60 * x] = exact_search.NONE
         order = np.lexsort((ids, -score))[:5]
         assert [(int(a), int(b)) for a, b in zip(v[n == x], s[n == x], strict=True)] == [(int(i), int(score[i])) for i in order]
+
+
+def test_own_folder_only_where_none_is_set(spark):
+    from tidegauge.llm import common
+
+    class Bare:
+        sparkContext = spark.sparkContext
+
+        class conf:
+            get = staticmethod(lambda key, default=None: default)
+
+    assert common.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
+    own = common.shared_dir(Bare)
+    assert own.startswith("file:///") and own == common.shared_dir(Bare)
+    spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))

@@ -23,6 +23,9 @@ PIECE_BYTES = 1 << 20
 LAST_ID = (1 << 63) - 1
 
 
+_own: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see.
 
@@ -31,8 +34,11 @@ def shared_dir(spark: SparkSession) -> str:
     """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="tidegauge-")
-        spark.conf.set("spark.checkpoint.dir", at)
+        app = spark.sparkContext.applicationId
+        if app not in _own:
+            _own[app] = "file://" + tempfile.mkdtemp(prefix="tidegauge-")
+            spark.sparkContext.setCheckpointDir(_own[app])
+        at = _own[app]
     return at.rstrip("/")
 
 
