@@ -4,7 +4,7 @@ Each word covered by a ``window``-word sequence that also starts in a document
 with a smaller doc_id goes. Phrases (the ``gram`` words of anchors, see
 sequence_dedup) that two or more documents share are confirmed first. Each
 bucket of documents compiles an Aho-Corasick automaton over the confirmed
-phrases that it needs, with word numbers as letters, and streams all its
+phrases that it needs, spelled in a few letters a word, and streams all its
 documents through it. Around every phrase located, the windows go to the shard
 of the phrase, where the first document of each is found.
 """
@@ -35,11 +35,21 @@ def words_as_symbols(buf: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray,
     return h, n
 
 
-def automaton(phrases: np.ndarray) -> ahocorasick.Automaton:
-    """Over rows of word numbers; its values are the rows' indices."""
-    a = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-    for i, p in enumerate(phrases.tolist()):
-        a.add_word(tuple(p), i)
+#: Letters of a word in an automaton's text, and the bits of each: few enough that a node has few children to look through.
+LETTERS, LETTER_BITS = 4, 6
+
+
+def spelled(sym: np.ndarray) -> str:
+    """Words as text of LETTERS letters each, for an automaton; hits count at whole words only."""
+    shifts = np.arange(LETTERS, dtype=U) * U(LETTER_BITS)
+    codes = ((sym[:, None] >> shifts) & U((1 << LETTER_BITS) - 1)).astype(np.uint8) + 48
+    return codes.tobytes().decode("latin-1")
+
+
+def automaton(phrases: set[str]) -> ahocorasick.Automaton:
+    a = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+    for i, p in enumerate(phrases):
+        a.add_word(p, i)
     a.make_automaton()
     return a
 
@@ -68,30 +78,24 @@ class Passages:
         self.held = []
         if not held:
             return
-        vocabulary, number = np.unique(np.concatenate([h[0][0] for h in held]), return_inverse=True)
-        number = number.astype(np.uint32)
-        base, phrases = 0, []
+        texts_, phrases = [], set()
         for (sym, n, _, _, _, _, _), key, _ in held:
-            begin = base + np.cumsum(n) - n
+            begin = np.cumsum(n) - n
+            texts_.append(text := spelled(sym))
             for x in range(len(n)):
                 (known,) = self.recurring.of(key[x])
-                if len(known):
-                    phrases.append(begin[x] + known)
-            base += len(sym)
+                for at in ((begin[x] + known) * LETTERS).tolist():
+                    phrases.add(text[at : at + k * LETTERS])
         if not phrases:
             return
-        phrases = np.lib.stride_tricks.sliding_window_view(number, k)[np.concatenate(phrases)]
-        machine = automaton(np.unique(phrases, axis=0))
-        base, out = 0, []
-        for (sym, n, d, pos, g, first, last), key, doc in held:
+        machine, out = automaton(phrases), []
+        del phrases
+        for text, ((sym, n, d, pos, g, first, last), key, doc) in zip(texts_, held, strict=True):
             begin = np.cumsum(n) - n
             seen = np.zeros(len(sym) + 1, dtype=bool)
-            for x in range(len(n)):
-                letters = tuple(number[base + begin[x] : base + begin[x] + n[x]].tolist())
-                ends = [e for e, _ in machine.iter(letters)] if len(letters) >= k else ()
-                if ends:
-                    seen[begin[x] - k + 1 + np.array(ends)] = True
-            base += len(sym)
+            for a, z in zip((begin * LETTERS).tolist(), ((begin + n) * LETTERS).tolist(), strict=True):
+                ends = np.fromiter((e for e, _ in machine.iter(text, a, z)), dtype=np.int64) + 1
+                seen[ends[ends % LETTERS == 0] // LETTERS - k] = True
             here = seen[begin[d] + pos]
             d, g, first, last = d[here], g[here], first[here], last[here]
             if not len(d):
