@@ -75,22 +75,27 @@ class Filter:
     """Bits in ``segments`` equal parts; an n-gram's entries lie in its own part."""
 
     def __init__(self, segments: int, bits: int = BITS):
-        self.segments, self.size = segments, bits // segments // 64 * 64
+        self.segments, self.size = segments, min(bits // segments // 64 * 64, (1 << 32) - 64)
         self.data: list[np.ndarray] = []
 
     def segment(self, h: np.ndarray) -> np.ndarray:
         return (h >> U(40)) % U(self.segments)
 
-    def position(self, h: np.ndarray, j: np.ndarray | int, probe: int) -> np.ndarray:
-        return mix(h + np.asarray(j).astype(U) * U(0xC2B2AE3D27D4EB4F) + U(probe) * U(0x165667B19E3779F9)) % U(self.size)
+    @staticmethod
+    def entry(h: np.ndarray, j: np.ndarray | int) -> np.ndarray:
+        return mix(h + np.asarray(j).astype(U) * U(0xC2B2AE3D27D4EB4F))
+
+    def position(self, entry: np.ndarray, probe: int) -> np.ndarray:
+        """Of an entry's hash, half of it or of a multiple, scaled to the segment."""
+        x = entry if probe < 2 else entry * U(0x9FB21C651E98DF25)
+        return ((x >> U(32) if probe % 2 else x & U(0xFFFFFFFF)) * U(self.size)) >> U(32)
 
     def build(self, h: np.ndarray, lowest: int, levels: np.ndarray, into: np.ndarray) -> None:
         """Sets the entries lowest..levels of each n-gram in one segment's bit array (a byte per bit)."""
         n = np.maximum(levels - lowest + 1, 0)
-        x = np.repeat(h, n)
-        j = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + lowest
+        x = self.entry(np.repeat(h, n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + lowest)
         for p in range(PROBES):
-            into[self.position(x, j, p).astype(np.int64)] = 1
+            into[self.position(x, p).astype(np.int64)] = 1
 
     def load(self, segments: list[bytes]) -> None:
         self.bytes = np.frombuffer(b"".join(segments), dtype=np.uint8)
@@ -102,9 +107,11 @@ class Filter:
         live = np.arange(len(h))
         j = lowest
         while len(live) and j < TOP:
+            x, start = self.entry(h[live], j), base[live]
             for p in range(PROBES):
-                at = base[live] + self.position(h[live], j, p)
-                live = live[(self.bytes[(at >> U(3)).astype(np.int64)] >> (at & U(7)).astype(np.uint8)) & 1 > 0]
+                at = start + self.position(x, p)
+                hit = (self.bytes[(at >> U(3)).astype(np.int64)] >> (at & U(7)).astype(np.uint8)) & 1 > 0
+                live, x, start = live[hit], x[hit], start[hit]
                 if not len(live):
                     break
             out[live] = j
