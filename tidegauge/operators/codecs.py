@@ -7,6 +7,8 @@ sorted in one task unless there is one series.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -94,12 +96,14 @@ def regular(df: DataFrame, time: str, *keys: str) -> DataFrame:
 
 def potential(df: DataFrame, time: str, tags: tuple[str, ...], fields: tuple[str, ...], *series: str) -> DataFrame:
     """(measure, name, value): distinct values per tag, type per field, and whether times are regular in all series."""
-    one = df.agg(*[F.countDistinct(t).cast("string").alias(f"cardinality|{t}") for t in tags], F.lit(None).cast("string").alias("_"))
-    even = regular(df, time, *series).agg(F.bool_and("regular").cast("string").alias("regular|" + time))
-    kinds = [F.lit(df.schema[f].dataType.simpleString()).alias(f"type|{f}") for f in fields]
-    row = one.crossJoin(even).select(*[F.col(f"`{c}`") for c in [*one.columns[:-1], *even.columns]], *kinds)  # one row each
-    pairs = F.array(*[F.struct(F.lit(c.split("|")[0]).alias("measure"), F.lit(c.split("|")[1]).alias("name"), F.col(f"`{c}`").alias("value")) for c in row.columns])
-    return row.select(F.inline(pairs))
+    spark = df.sparkSession
+    out = [regular(df, time, *series).agg(F.bool_and("regular").cast("string").alias("value")).select(F.lit("regular").alias("measure"), F.lit(time).alias("name"), "value")]
+    if tags:
+        one = df.agg(*[F.countDistinct(t).cast("string").alias(t) for t in tags])
+        out.append(one.select(F.inline(F.array(*[F.struct(F.lit("cardinality").alias("measure"), F.lit(t).alias("name"), F.col(t).alias("value")) for t in tags]))))
+    if fields:
+        out.append(spark.createDataFrame([("type", f, df.schema[f].dataType.simpleString()) for f in fields], "measure string, name string, value string"))
+    return reduce(DataFrame.unionByName, out)
 
 
 def parquet_sizes(df: DataFrame, folder: str, codecs: tuple[str, ...] = ("none", "snappy", "gzip", "zstd")) -> dict[str, int]:

@@ -37,15 +37,15 @@ def tumbling(rel: Relation, interval: str | float, field: str, agg: str | Callab
     return out.select(*tags, "start", (F.col("start") + size).alias("end"), "value", "count")
 
 
-def fill_gaps(windows: DataFrame, interval: str | float) -> DataFrame:
+def fill_gaps(windows: DataFrame, interval: str | float, origin: float = 0.0) -> DataFrame:
     """Adds (start, end, null, 0) for each window without points between the first and the last.
 
-    Windows are numbered from the first, so that steps don't drift. The numbers
-    are made by spark.range's kin, sequence, in one row of bounds only.
+    Windows are numbered from ``origin``, the one they were made with, so that
+    steps don't drift. The numbers come from one row with the bounds.
     """
     size = parse_duration(interval) if isinstance(interval, str) else float(interval)
-    span = windows.agg(F.min("start").alias("lo"), F.max("start").alias("hi")).where("lo is not null")
-    every = span.select("lo", F.explode(F.sequence(F.lit(0).cast("long"), F.round((F.col("hi") - F.col("lo")) / size).cast("long"))).alias("n"))
-    numbered = windows.crossJoin(F.broadcast(span.select("lo"))).withColumn("n", F.round((F.col("start") - F.col("lo")) / size).cast("long")).drop("lo", "start", "end")
-    start = F.col("lo") + F.col("n") * size
+    numbered = windows.select(F.round((F.col("start") - origin) / size).cast("long").alias("n"), "value", "count")
+    span = numbered.agg(F.min("n").alias("lo"), F.max("n").alias("hi")).where("lo is not null")
+    every = span.select(F.explode(F.sequence("lo", "hi")).alias("n"))
+    start = F.lit(float(origin)) + F.col("n") * size
     return every.join(numbered, "n", "left").select(start.alias("start"), (start + size).alias("end"), "value", F.coalesce("count", F.lit(0)).alias("count"))

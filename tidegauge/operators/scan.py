@@ -47,3 +47,11 @@ def merge(streams: list[DataFrame], key: str, *tie: str, limit: int | None = Non
     numbered = [s.withColumn("src", F.lit(i)) for i, s in enumerate(streams)]
     out = reduce(DataFrame.unionByName, numbered).orderBy(key, "src", *tie)
     return out.limit(limit) if limit is not None else out
+
+
+def strategy(rel: Relation, start=None, end=None, tags: dict | None = None, fields: dict | None = None) -> dict[str, object]:
+    """How a read would go: "tag+time", "tag", "time" or "scan", and what reaches the Parquet scan."""
+    from ..plans.stages import scan_facts
+
+    by = [name for name, used in (("tag", tags), ("time", start is not None or end is not None)) if used]
+    return {"strategy": "+".join(by) or "scan", **scan_facts(read(rel, start, end, tags, fields))}
