@@ -97,6 +97,17 @@ def test_filters_and_columns_reach_the_scan(spark):
     assert "props" not in facts["ReadSchema"][0]
 
 
+def test_read_strategy(spark):
+    from tidegauge.operators import scan
+
+    e = table_catalog(spark, DATA)["events"]
+    how = scan.strategy(e, "2024-01-05 00:00:00", "2024-01-06 00:00:00", {"event_type": "click"})
+    assert how["strategy"] == "tag+time" and "EqualTo(event_type,click)" in how["PushedFilters"][0] and "GreaterThanOrEqual(ts" in how["PushedFilters"][0]
+    assert scan.strategy(e)["strategy"] == "scan"
+    plan = stages.physical(scan.read(e, limit=5))
+    assert "TakeOrderedAndProject" in plan
+
+
 def test_groups(spark):
     r = wide(spark, [(0.0, "us", "a", 10.0), (1.0, "us", "a", 20.0), (2.0, "us", "b", 100.0), (3.0, "eu", "a", 5.0), (4.0, "eu", None, 7.0)], "t double, region string, host string, v double", ("region", "host"), ("v",))
     assert [tuple(x) for x in grouping.group(r, ["region"], "v", "sum").collect()] == [("eu", 12.0, 2), ("us", 130.0, 3)]
