@@ -133,3 +133,15 @@ def test_workload(spark, tmp_path):
     assert found == {("cardinality", "host"): "4", ("regular", "timestamp"): "true", ("type", "value"): "double"}
     sizes = codecs.parquet_sizes(w.df, f"file://{tmp_path}/c", ("none", "zstd"))
     assert 0 < sizes["zstd"] < sizes["none"]
+
+
+def test_line_source(spark, tmp_path):
+    from tidegauge.sources import line_source
+
+    (tmp_path / "a.txt").write_text('m,h=a v=1,s="x" 1609459200\nbad\n# note\n\nm v=2i')
+    (tmp_path / "b.txt").write_text("n b=t\n")
+    line_source.register(spark)
+    df = spark.read.format("lines").load(f"{tmp_path}")
+    assert df.where("error is null").count() == 3 and df.where("error is not null").count() == 1
+    assert df.agg(F.sum(F.col("numbers")["v"])).collect()[0][0] == 3.0
+    assert df.where("measurement = 'n'").select(F.col("texts")["b"]).collect()[0][0] == "true"
