@@ -6,6 +6,8 @@ from tidegauge.functions.aggregates import operation_stats
 from tidegauge.server import wire
 from tidegauge.server.service import Client, Server
 
+V = wire.VERSION
+
 
 def test_frames_in_pieces():
     data = wire.frame(b"one") + wire.frame(b"") + wire.frame("zwei ü".encode())
@@ -23,13 +25,13 @@ def test_answers():
         raise QueryError("unknown")
 
     ask = lambda line, q=lambda _: [{"host": "a", "value": 1.0}], w=lambda p: None: wire.answer(line, w, q)
-    assert ask("TSDB/1 PING").text() == "TSDB/1 OK"
-    assert ask("TSDB/1 QUERY SELECT sum(v) FROM m").body == ("host=a value=1.0",)
-    assert ask("nonsense").code == 400 and ask("TSDB/1 DROP x").code == 404
-    assert ask("TSDB/1 QUERY hello").code == 422 and ask("TSDB/1 QUERY SELECT x FROM y", bad).code == 422
-    assert ask("TSDB/1 WRITE m").code == 400
-    assert ask("TSDB/1 QUERY SELECT x FROM y", fail).text() == "TSDB/1 ERROR 500\ninternal error"
-    assert wire.parse_response("TSDB/1 ERROR 404\nx") == wire.Response(False, 404, ("x",))
+    assert ask(f"{V} PING").text() == f"{V} OK"
+    assert ask(f"{V} QUERY SELECT sum(v) FROM m").body == ("host=a value=1.0",)
+    assert ask("nonsense").code == 400 and ask(f"{V} DROP x").code == 404
+    assert ask(f"{V} QUERY hello").code == 422 and ask(f"{V} QUERY SELECT x FROM y", bad).code == 422
+    assert ask(f"{V} WRITE m").code == 400
+    assert ask(f"{V} QUERY SELECT x FROM y", fail).text() == f"{V} ERROR 500\ninternal error"
+    assert wire.parse_response(f"{V} ERROR 404\nx") == wire.Response(False, 404, ("x",))
     assert wire.parse_write("m h=a v=1,w=1.5,x=y 10.25") == {"measurement": "m", "tags": {"h": "a"}, "fields": {"v": 1, "w": 1.5, "x": "y"}, "timestamp": 10.25}
     assert wire.table([]) == "(no results)" and wire.table([{"a": 1, "value": 2}]).splitlines()[0] == "a  value"
 
