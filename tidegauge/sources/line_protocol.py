@@ -26,6 +26,14 @@ AHEAD = 86400
 
 def _split(text: str, mark: str, most: int = -1) -> list[str]:
     """At unescaped marks outside double quotes."""
+    if "\\" not in text and ('"' not in text or most < 0):
+        out = [""]
+        for i, part in enumerate(text.split('"') if most < 0 else [text]):
+            inside = i % 2
+            head, *rest = [part] if inside else part.split(mark, most)
+            out[-1] += '"' * (i > 0) + head
+            out += rest
+        return out
     out, now, quoted, i = [], "", False, 0
     while i < len(text):
         c = text[i]
