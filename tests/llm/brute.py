@@ -113,6 +113,25 @@ def unigram(docs):
     return [(d, crc(d) % 7 == 2, len(w), sum(c[x] > 0 for x in w), n, float(sum(np.log10((c[x] + 1) / (n + v + 1)) for x in w))) for (d, _), w in zip(docs, tokens, strict=True)]
 
 
+def pair_scores(docs, prior=60.0):
+    """[(doc_id, n_tokens, score)] by exact counts of words and pairs."""
+    tokens = [[*re.findall(WORD, lowered(t)), None] for _, t in docs]
+    c, both, n = Counter(), Counter(), 0
+    for (d, _), w in zip(docs, tokens, strict=True):
+        if crc(d) % 7 != 2:
+            c.update(w)
+            both.update(zip([b" ", *w], w, strict=False))
+            n += 1
+    total, distinct = sum(c.values()), len(c)
+    c[b" "] = n  # begins a text
+
+    def p(a, x):
+        one = (c[x] + 1) / (total + distinct + 1)
+        return (min(both[a, x], c[a]) + prior * one) / (c[a] + prior)
+
+    return [(d, len(w), float(sum(np.log10(p(a, x)) for a, x in zip([b" ", *w], w, strict=False)))) for (d, _), w in zip(docs, tokens, strict=True)]
+
+
 def targets(sizes, weights=(5, 2, 1), share=1.5, most=2):
     """{source: target} by sharing out again what goes beyond the caps."""
     of = dict(zip(sorted(sizes, key=lambda s: (s is None, s or "")), (weights[i % len(weights)] for i in range(len(sizes))), strict=True))

@@ -189,6 +189,34 @@ def test_language_model(docs, rows, nothing):
     assert bloom_lm.score(nothing).count() == 0
 
 
+def test_language_model_keeps_every_pair(docs, rows, monkeypatch):
+    """Scores follow the counts of all n-grams, also where a fixed number of bits, if there is one, is far too small for them."""
+    few = tuple(1 << 14 if x == 1 << 28 else x for x in bloom_lm.score.__defaults__)
+    monkeypatch.setattr(bloom_lm.score, "__defaults__", few)
+    found = sorted((r.doc_id is None, r.doc_id or 0, r.n_tokens, r.score) for r in bloom_lm.score(docs).collect())
+    want = sorted((d is None, d or 0, n, s) for d, n, s in brute.pair_scores(pairs(rows)))
+    assert [r[:3] for r in found] == [r[:3] for r in want]
+    off = [abs(a[3] - b[3]) / a[2] for a, b in zip(found, want, strict=True)]
+    assert sum(off) / len(off) < 0.05 and max(off) < 0.25
+
+
+def test_hashes_come_back_from_differences():
+    for h in ([], [0], [7], [0, 1, 1 << 40, (1 << 64) - 1]):
+        h = np.array(h, dtype=np.uint64)
+        assert bloom_lm.thickened(bloom_lm.thinned(h)).tolist() == h.tolist()
+
+
+def test_segments_follow_their_entries():
+    sizes = []
+    for n in (1000, 8000):
+        h = np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        f = bloom_lm.segment([(h, np.full(n, 4)), (h + np.uint64(1), np.ones(n, dtype=np.int64))])
+        sizes.append(f.size)
+        assert (f.levels(h, 1) >= 9).all() and (f.levels(h, 1) > 9).mean() < 0.03
+        assert (f.levels(h + np.uint64(1), 1) >= 1).all() and (f.levels(h + np.uint64(2), 1) > 0).mean() < 0.03
+    assert sizes[1] > 7.9 * sizes[0]
+
+
 def test_filter_gives_levels_back():
     f = bloom_lm.Filter(1, 1 << 20)
     h = np.arange(1, 5001, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)

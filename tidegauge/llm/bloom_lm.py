@@ -2,15 +2,13 @@
 
 Counts of words and word pairs over all training texts are quantised,
 q(c) = 1 + floor(log_b(c)), and (n-gram, j) is put into the filter for every j
-up to q. A probe for j = 1, 2, ... until one misses gives the count back. The
-filter has a fixed number of bits, which is its broadcast bound: a segment per
-shard of n-grams, built where the counts meet. Where the corpus has more
-n-grams than the filter holds at its designed error, those of the lowest count
-levels stay out, as a histogram over all counts says; a word outside is taken
-to have the mean count of such words.
-
-The unigram base score is exact: the most frequent words' counts (a bounded
-number) are broadcast, and rarer words meet their counts in their shards.
+up to q. A probe for j = 1, 2, ... until one misses gives the count back. Every
+n-gram goes in: the filter has a segment per shard of n-grams, built where the
+counts meet, with BITS_PER_ENTRY bits for each entry there. Nothing of it is
+broadcast. A task sends each n-gram of some million tokens once to its shard,
+where the segment is probed, and the levels meet the tokens again.
+
+The unigram base score is exact: words' counts come back with their levels.
 """
 
 from __future__ import annotations
@@ -22,21 +20,22 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import LAST_ID, by_key, ids_of, materialize, n_shards, pieces, prepare, runs, slots, text_arrays, texts
+from .common import LAST_ID, SHARD_BYTES, by_key, ids_of, materialize, n_shards, pieces, prepare, runs, slots, text_arrays, texts
 from .seqhash import U, mix, words
-from .sequence_dedup import BLOB, blob, gathered, null_id, opened, sent
+from .sequence_dedup import BLOB, blob, null_id, opened, sent
 
-#: Bits of the filter (32 MB), probes of an entry, and bits that an entry should have.
-BITS, PROBES, BITS_PER_ENTRY = 1 << 28, 4, 9
+#: Probes of an entry, and bits that an entry has.
+PROBES, BITS_PER_ENTRY = 4, 9
 #: Levels per doubling of a count, for words and for pairs.
 LEVELS = (4, 2)
-#: Words with broadcast exact counts.
-FREQUENT = 1 << 17
 #: Weight of the unigram distribution in a word's history.
 PRIOR = 60.0
-#: Tokens counted before their counts are sent on.
+#: Tokens gathered before their counts or questions are sent on.
 FLUSH = 1 << 21
+#: N-grams put into a segment at a time.
+STEP = 1 << 18
 TOP = 160
 
 END, START = U(0x5BD1E9955BD1E995), U(0x27D4EB2F165667C5)
@@ -55,10 +54,19 @@ def tokens(buf: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray
     end = np.zeros(len(out), dtype=bool)
     end[at] = True
     out[end], out[~end] = END, h
-    before = np.empty_like(out)
-    before[1:] = out[:-1]
-    before[at - n] = START
-    return out, mix(before * U(0x9E3779B97F4A7C15) + out) | U(1), n + 1
+    return out, pairs_of(out, at - n), n + 1
+
+
+def pairs_of(token: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Hashes of each token with the one before; ``first``: where texts begin."""
+    before = np.empty_like(token)
+    before[1:] = token[:-1]
+    before[first] = START
+    return mix(before * U(0x9E3779B97F4A7C15) + token) | U(1)
+
+
+def shard_of(h: np.ndarray, shards: int) -> np.ndarray:
+    return ((h >> U(40)) % U(shards)).astype(np.int64)
 
 
 def level(count: np.ndarray, per: int) -> np.ndarray:
@@ -71,10 +79,19 @@ def count_at(levels: np.ndarray, per: int) -> np.ndarray:
     return np.where(levels > 0, (low + np.maximum(low, high)) / 2, 0.0)
 
 
+def thinned(h: np.ndarray) -> np.ndarray:
+    """Ascending hashes as the bytes of their differences, the same byte of all together: the leading ones are mostly 0."""
+    return np.ascontiguousarray(np.diff(h, prepend=U(0)).view(np.uint8).reshape(-1, 8).T).ravel()
+
+
+def thickened(raw: np.ndarray) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(raw.reshape(8, -1).T).view(U).ravel(), dtype=U)
+
+
 class Filter:
     """Bits in ``segments`` equal parts; an n-gram's entries lie in its own part."""
 
-    def __init__(self, segments: int, bits: int = BITS):
+    def __init__(self, segments: int, bits: int):
         self.segments, self.size = segments, min(bits // segments // 64 * 64, (1 << 32) - 64)
         self.data: list[np.ndarray] = []
 
@@ -119,28 +136,29 @@ class Filter:
         return out
 
 
-class Model:
-    """Smoothed pair probabilities from the filter."""
+def segment(grams: list[tuple[np.ndarray, np.ndarray]]) -> Filter:
+    """A filter of one segment, sized by its entries, of (hashes, counts) of words and of pairs."""
+    levels = [level(c, per) for (_, c), per in zip(grams, LEVELS, strict=True)]
+    f = Filter(1, 64 + BITS_PER_ENTRY * int(sum(x.sum() for x in levels)))
+    into = np.zeros(f.size, dtype=np.uint8)
+    for (h, _), x in zip(grams, levels, strict=True):
+        for at in range(0, len(h), STEP):
+            f.build(h[at : at + STEP], 1, x[at : at + STEP], into)
+    f.load([np.packbits(into, bitorder="little").tobytes()])
+    return f
 
-    def __init__(self, bloom: Filter, lowest: tuple[int, int], total: int, distinct: int, rest: float, texts: int):
-        self.bloom, self.lowest, self.total, self.distinct, self.rest, self.texts = bloom, lowest, total, distinct, rest, texts
 
-    def log10(self, token: np.ndarray, pair: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """log10 p(token | token before) of each token; ``first``: whether it begins a text."""
-        kinds, number = np.unique(token, return_inverse=True)
-        levels = self.bloom.levels(kinds, self.lowest[0])
-        count = np.where(levels > 0, count_at(levels, LEVELS[0]), self.rest)[number]
-        pairs, at = np.unique(pair, return_inverse=True)
-        both = count_at(self.bloom.levels(pairs, self.lowest[1]), LEVELS[1])[at]
-        before = np.empty_like(count)
-        before[1:] = count[:-1]
-        before[first] = self.texts
-        one = (count + 1) / (self.total + self.distinct + 1)
-        return np.log10((np.minimum(both, before) + PRIOR * one) / (before + PRIOR))
+def log10(count: np.ndarray, both: np.ndarray, first: np.ndarray, total: int, distinct: int, texts: int) -> np.ndarray:
+    """log10 p(token | token before) by the counts of tokens and pairs; ``first``: where texts begin."""
+    before = np.empty_like(count)
+    before[1:] = count[:-1]
+    before[first] = texts
+    one = (count + 1) / (total + distinct + 1)
+    return np.log10((np.minimum(both, before) + PRIOR * one) / (before + PRIOR))
 
 
 def lowest_levels(histogram: np.ndarray, bits: int) -> tuple[int, int]:
-    """For words and pairs, the lowest level kept, so that all entries have their bits.
+    """For words and pairs, the lowest level that a filter of so many bits could keep; score() keeps all.
 
     ``histogram[kind, level]`` counts n-grams. From everything, the level whose
     n-grams are least frequent goes out first, pairs before words.
@@ -157,7 +175,7 @@ def lowest_levels(histogram: np.ndarray, bits: int) -> tuple[int, int]:
     return low[0], low[1]
 
 
-def score(docs: DataFrame, folds: int = 7, held_fold: int = 2, bits: int = BITS) -> DataFrame:
+def score(docs: DataFrame, folds: int = 7, held_fold: int = 2) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Learns from rows whose crc32(doc_id as text) mod folds isn't ``held_fold``
@@ -168,8 +186,7 @@ def score(docs: DataFrame, folds: int = 7, held_fold: int = 2, bits: int = BITS)
     spark = docs.sparkSession
     prepare(spark)
     d = texts(docs)
-    n = n_shards(d)
-    segments = n
+    n = n_shards(d, SHARD_BYTES // 4)
 
     def count(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, texts_ = [], 0, 0
@@ -178,7 +195,7 @@ def score(docs: DataFrame, folds: int = 7, held_fold: int = 2, bits: int = BITS)
             out = []
             for kind, x in enumerate(zip(*held, strict=True)):
                 h, c = np.unique(np.concatenate(x), return_counts=True)
-                for s, i in slots(((h >> U(40)) % U(segments)).astype(np.int64), segments):
+                for s, i in slots(shard_of(h, n), n):
                     out.append(blob(s, np.array([kind, texts_ if kind == 0 and not out else 0]), h[i], c[i].astype(np.uint32)))
             return out
 
@@ -197,148 +214,125 @@ def score(docs: DataFrame, folds: int = 7, held_fold: int = 2, bits: int = BITS)
         if size:
             yield from sent(flush())
 
-    def total(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard, group in runs(rows):
-            got = [opened(p, np.int64, U, np.uint32) for b in group for p in b.column(1).to_pylist()]
-            for kind in (0, 1):
-                mine = [(h, c) for k, h, c in got if k[0] == kind]
-                if not mine:
-                    continue
-                h, c = (np.concatenate(x) for x in zip(*mine, strict=True))
-                order = np.argsort(h, kind="stable")
-                start = np.flatnonzero(np.r_[True, h[order][1:] != h[order][:-1]])
-                h, c = h[order][start], np.add.reduceat(c[order].astype(np.int64), start)
-                held = np.bincount(level(c, LEVELS[kind]), minlength=TOP)[:TOP]
-                raw = blob(0, h, c)[1]
-                yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([kind], pa.int32()), pa.array([len(h)], pa.int64()), pa.array([int(c.sum())], pa.int64()), pa.array([sum(int(k[1]) for k, _, _ in got) * (1 - kind)], pa.int64()), pa.array([held.tolist()], pa.list_(pa.int64())), pa.array([raw], pa.binary())], names=["shard", "kind", "types", "tokens", "texts", "levels", "payload"])
-
-    counts = materialize(by_key(d.mapInArrow(count, BLOB), n, "shard", total, "shard int, kind int, types long, tokens long, texts long, levels array<long>, payload binary"), "counts")
-    stats = counts.drop("payload").collect()  # two rows a shard
-    all_tokens, all_types = (sum(r[f] for r in stats if r.kind == 0) for f in ("tokens", "types"))
-    histogram = np.zeros((2, TOP), dtype=np.int64)
-    for r in stats:
-        histogram[r.kind] += np.array(r.levels, dtype=np.int64)
-    low = lowest_levels(histogram, bits)
-    # the level from which on a word's count is broadcast
-    often = TOP - 1
-    while often > 1 and histogram[0, often - 1 :].sum() <= FREQUENT:
-        often -= 1
-    bloom = Filter(segments, bits)
-
     def build(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard, group in runs(rows):
-            into = np.zeros(bloom.size, dtype=np.uint8)
-            known, rest, types = [], 0, 0
+            parts, texts_ = ([], []), 0
             for b in group:
-                for kind, payload in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                    h, c = opened(payload, U, np.int64)
-                    levels = level(c, LEVELS[kind])
-                    bloom.build(h, low[kind], levels, into)
-                    if kind == 0:
-                        known.append((h[levels >= often], c[levels >= often]))
-                        rest, types = rest + int(c[levels < low[0]].sum()), types + int((levels < low[0]).sum())
-            h, c = (np.concatenate(x) for x in zip(*known, strict=True)) if known else (np.empty(0, U), np.empty(0, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([np.packbits(into, bitorder="little").tobytes()], pa.binary()), pa.array([h.tobytes()], pa.binary()), pa.array([c.tobytes()], pa.binary()), pa.array([rest], pa.int64()), pa.array([types], pa.int64())], names=["shard", "bits", "h", "c", "rest", "types"])
-
-    built = by_key(counts.select("shard", "kind", "payload"), n, "shard", build, "shard int, bits binary, h binary, c binary, rest long, types long").collect()  # ``bits`` bits and FREQUENT words
-    have = {r.shard: r for r in built}
-    blank = bytes(bloom.size // 8)
-    bloom.load([bytes(have[s].bits) if s in have else blank for s in range(segments)])
-    h = np.concatenate([np.empty(0, U), *(np.frombuffer(r.h, dtype=U) for r in built)])
-    c = np.concatenate([np.empty(0, np.int64), *(np.frombuffer(r.c, dtype=np.int64) for r in built)])
-    order = np.argsort(h)
-    outside, kinds = sum(r.rest for r in built), sum(r.types for r in built)
-    model = Model(bloom, low, all_tokens, all_types, outside / kinds if kinds else 0.0, sum(r.texts for r in stats))
-    state = spark.sparkContext.broadcast((model, h[order], c[order]))
+                for p in b.column(1).to_pylist():
+                    k, h, c = opened(p, np.int64, U, np.uint32)
+                    parts[k[0]].append((h, c))
+                    texts_ += int(k[1])
+            del group
+            both = []
+            for mine in parts:
+                h, c = (np.concatenate(x) for x in zip((np.empty(0, U), np.empty(0, np.uint32)), *mine, strict=True))
+                mine.clear()
+                order = np.argsort(h, kind="stable")
+                h, c = h[order], c[order].astype(np.int64)
+                start = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.empty(0, np.int64)
+                both.append((h[start], np.add.reduceat(c, start) if len(h) else c))
+            h, c = both[0]
+            row = [int(shard), len(h), int(c.sum()), texts_, blob(0, h, c, segment(both).bytes)[1]]
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["shard", "types", "tokens", "texts", "payload"])
+
+    segments = materialize(by_key(d.mapInArrow(count, BLOB), n, "shard", build, "shard int, types long, tokens long, texts long, payload binary"), "segments")
+    stats = segments.drop("payload").collect()  # a row a shard
+    all_tokens, all_types, all_texts = (sum(r[f] for r in stats) for f in ("tokens", "types", "texts"))
     divisor = np.log10(float(all_tokens + all_types + 1))
-    row = (np.int64, np.int64, np.uint8, np.int64, np.int64, np.float64, np.float64)  # uid, doc_id, held_out, n_tokens, n_known, base, score
-
-    def rate(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, frequent, counts_ = state.value
-        uid = TaskContext.get().partitionId() << 40
-        asked, made, size = [], [], 0
+    parcel = "shard int, flush long, part int, payload binary"
+
+    def parcels(rows: list[tuple[int, int, int, bytes]]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for i, r in enumerate(rows):
+            held.append(r)
+            size += len(r[3])
+            if size > 4 << 20 or i == len(rows) - 1:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*held, strict=True), (pa.int32(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["shard", "flush", "part", "payload"])
+                held, size = [], 0
+
+    def asked(token: np.ndarray, pair: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(shard, its words, its pairs), as indices in the order in which they are asked and answered."""
+        w, p = dict(slots(shard_of(token, n), n)), dict(slots(shard_of(pair, n), n))
+        none = np.empty(0, np.int64)
+        for s in sorted(w.keys() | p.keys()):
+            yield s, w.get(s, none), p.get(s, none)
+
+    def ask(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each word and pair of a flush to its shard once, and the flush itself, as numbers of words, on to where the answers go."""
+        part, number, held, size = TaskContext.get().partitionId(), 0, [], 0
 
         def flush():
-            out = []
-            u, w, tf = (np.concatenate(x) for x in zip(*asked, strict=True))
-            for s, i in slots(((w >> U(40)) % U(segments)).astype(np.int64), segments):
-                out.append(blob(s, w[i], u[i], tf[i].astype(np.uint32)))
-            ready = [np.concatenate(x) for x in zip(*made, strict=True)]
-            for s, i in slots(ready[0] % n, n):
-                out.append(blob(-1 - s, *(x[i] for x in ready)))
+            token, pair, doc, held_out, m = (np.concatenate(x) for x in zip(*held, strict=True))
+            kinds, which, often = np.unique(token, return_inverse=True, return_counts=True)
+            order = np.argsort(-often, kind="stable")  # frequent words have small numbers
+            rank = np.empty_like(order)
+            rank[order] = np.arange(len(order))
+            kinds, which, pair = kinds[order], rank[which].astype(np.uint32), np.unique(pair)
+            id_ = (part << 24) + number
+            out = [(-1 - (part + 31 * number) % n, id_, -1, blob(0, doc, held_out, m, kinds, which.astype(np.uint16), (which >> 16).astype(np.uint16))[1])]
+            out += [(s, id_, 1, blob(0, kinds[w], thinned(pair[p]))[1]) for s, w, p in asked(kinds, pair)]
             return out
 
         for b in rows:
             doc = ids_of(b.column(0))
-            held_out = fold_of(doc, folds) == held_fold
+            held_out = (fold_of(doc, folds) == held_fold).astype(np.uint8)
             buf, off = text_arrays(b.column(1))
             for i, j in pieces(off):
                 t, p, m = tokens(buf[off[i] : off[j]], np.diff(off[i : j + 1]))
-                owner = np.repeat(np.arange(j - i), m)
-                first = np.zeros(len(t), dtype=bool)
-                first[np.cumsum(m) - m] = True
-                value = np.bincount(owner, weights=model.log10(t, p, first), minlength=j - i)
-                at = np.minimum(np.searchsorted(frequent, t), max(0, len(frequent) - 1))
-                known = frequent[at] == t if len(frequent) else np.zeros(len(t), dtype=bool)
-                base = np.bincount(owner[known], weights=np.log10(counts_[at[known]] + 1.0), minlength=j - i) - m * divisor
-                made.append((uid + np.arange(j - i), doc[i:j], held_out[i:j].astype(np.uint8), m, np.bincount(owner[known], minlength=j - i), base, value))
-                w, o = t[~known], owner[~known]
-                order = np.lexsort((w, o))
-                w, o = w[order], o[order]
-                new = np.flatnonzero(np.r_[True, (w[1:] != w[:-1]) | (o[1:] != o[:-1])]) if len(w) else np.empty(0, np.int64)
-                asked.append((uid + o[new], w[new], np.diff(np.append(new, len(w)))))
-                uid += j - i
-                size += len(new) + (j - i)
+                held.append((t, p, doc[i:j], held_out[i:j], m))
+                size += len(t)
                 if size > FLUSH:
-                    yield from sent(flush())
-                    asked, made, size = [], [], 0
-        if made:
-            yield from sent(flush())
+                    yield from parcels(flush())
+                    number, held, size = number + 1, [], 0
+        if size:
+            yield from parcels(flush())
 
     def answer(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard, group in runs(rows):
-            if shard < 0:
-                yield from sent([(int(shard), p) for b in group for p in b.column(1).to_pylist()])
-                continue
-            h, c = np.empty(0, U), np.empty(0, np.int64)
-            ask = []
-            for b in group:
-                for payload, table in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                    if table:
-                        h, c = opened(payload, U, np.int64)
-                    else:
-                        ask.append(payload)
-            w, u, tf = gathered(ask, U, np.int64, np.uint32)
-            at = np.minimum(np.searchsorted(h, w), max(0, len(h) - 1))
-            hit = h[at] == w if len(h) else np.zeros(len(w), dtype=bool)
-            u, c, tf = u[hit], c[at[hit]], tf[hit].astype(np.int64)
-            docs_, number = np.unique(u, return_inverse=True)
-            base = np.bincount(number, weights=tf * np.log10(c + 1.0), minlength=len(docs_))
-            known = np.bincount(number, weights=tf, minlength=len(docs_)).astype(np.int64)
-            yield from sent([blob(s, docs_[i], base[i], known[i]) for s, i in slots(docs_ % n, n)])
+        """Of each question the words' counts and levels and the pairs' levels; a shard's segment comes before its questions."""
+        now, h, c, bloom = None, None, None, None
+        for b in rows:
+            out = []
+            for shard, flush, part, payload in zip(*(x.to_pylist() for x in b.columns), strict=True):
+                if shard < 0:
+                    out.append((-1 - shard, flush, part, payload))
+                    continue
+                if shard != now:
+                    now, bloom = shard, None
+                if part == 0:
+                    h, c, bits = opened(payload, U, np.int64, np.uint8)
+                    bloom = Filter(1, len(bits) * 8)
+                    bloom.load([bits.tobytes()])
+                    continue
+                w, p = opened(payload, U, np.uint8)
+                p = thickened(p)
+                count, lw, lp = np.zeros(len(w), np.int64), np.zeros(len(w), np.uint8), np.zeros(len(p), np.uint8)
+                if bloom is not None:
+                    if len(h):
+                        at = np.minimum(np.searchsorted(h, w), len(h) - 1)
+                        count = np.where(h[at] == w, c[at], 0)
+                    lw, lp = (bloom.levels(x, 1).astype(np.uint8) for x in (w, p))
+                out.append(((flush // (1 << 24) + 31 * (flush % (1 << 24))) % n, flush, shard, blob(0, count, lw, lp)[1]))
+            yield from parcels(out)
 
     def finish(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, group in runs(rows, "bucket"):
-            ready, more = [], []
-            for b in group:
-                for part, payload in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                    (more if part else ready).append(payload)
-            uid, doc, held_out, m, known, base, value = gathered(ready, *row)
-            order = np.argsort(uid)
-            uid, doc, held_out, m, known, base, value = (x[order].copy() for x in (uid, doc, held_out, m, known, base, value))
-            u, add, also = gathered(more, np.int64, np.float64, np.int64)
-            order = np.lexsort((add, u))  # the same sum in any order of arrival
-            at = np.searchsorted(uid, u[order])
-            np.add.at(base, at, add[order])
-            np.add.at(known, at, also[order])
-            for i in range(0, len(uid), 8192):
+        for _, group in runs(rows, "flush"):
+            parts = {s: p for b in group for s, p in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)}
+            doc, held_out, m, kinds, low, high = opened(parts.pop(-1), np.int64, np.uint8, np.int64, U, np.uint16, np.uint16)
+            which = low.astype(np.int64) + (high.astype(np.int64) << 16)
+            first = np.cumsum(m) - m
+            pair, place = np.unique(pairs_of(kinds[which], first), return_inverse=True)
+            exact, words_, both = np.empty(len(kinds), np.int64), np.empty(len(kinds), np.int64), np.empty(len(pair), np.int64)
+            for s, w, p in asked(kinds, pair):
+                exact[w], words_[w], both[p] = opened(parts.pop(s), np.int64, np.uint8, np.uint8)
+            owner = np.repeat(np.arange(len(m)), m)
+            value = log10(count_at(words_, LEVELS[0])[which], count_at(both, LEVELS[1])[place], first, all_tokens, all_types, all_texts)
+            value = np.bincount(owner, weights=value, minlength=len(m))
+            base = np.bincount(owner, weights=np.log10(exact + 1.0)[which], minlength=len(m)) - m * divisor
+            known = np.bincount(owner, weights=(exact > 0)[which], minlength=len(m)).astype(np.int64)
+            for i in range(0, len(m), 8192):
                 s = slice(i, i + 8192)
                 yield pa.RecordBatch.from_arrays([null_id(doc[s]), pa.array(held_out[s] > 0), pa.array(m[s]), pa.array(known[s]), pa.array(np.full(len(m[s]), all_tokens)), pa.array(base[s]), pa.array(value[s])], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    from pyspark.sql import functions as F
-
-    rated = d.mapInArrow(rate, BLOB).withColumn("table", F.lit(0))
-    both = rated.unionByName(counts.where("kind = 0").select("shard", "payload", F.lit(1).alias("table")))
-    parts = by_key(both, n, "shard", answer, BLOB)
-    parts = parts.select(F.when(F.col("shard") < 0, -1 - F.col("shard")).otherwise(F.col("shard")).alias("bucket"), F.when(F.col("shard") < 0, 0).otherwise(1).alias("part"), "payload")
-    return by_key(parts, n, "bucket", finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    own = segments.select("shard", F.lit(0).cast("long").alias("flush"), F.lit(0).alias("part"), "payload")
+    answers = by_key(d.mapInArrow(ask, parcel).unionByName(own), n, "shard", answer, parcel, "part")
+    return by_key(answers, n, "shard", finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double", "flush", "part")

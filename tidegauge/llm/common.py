@@ -90,13 +90,13 @@ def n_parts(spark: SparkSession) -> int:
 SHARD_BYTES = 256 << 20
 
 
-def n_shards(docs: DataFrame) -> int:
-    """Shards for a table of texts: as many as shuffle partitions, and more where these would hold over SHARD_BYTES each.
+def n_shards(docs: DataFrame, most: int = SHARD_BYTES) -> int:
+    """Shards for a table of texts: as many as shuffle partitions, and more where these would hold over ``most`` bytes each.
 
     One pass over the lengths, so that memory per task doesn't hang on a setting.
     """
     size = docs.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0
-    return max(n_parts(docs.sparkSession), -(-size // SHARD_BYTES))
+    return max(n_parts(docs.sparkSession), -(-size // most))
 
 
 def texts(docs: DataFrame, *more: str) -> DataFrame:
