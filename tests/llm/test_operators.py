@@ -6,7 +6,7 @@ import zlib
 import numpy as np
 import pytest
 
-from tidegauge.llm import bloom_lm, curve_search, exact_search, jaccard_join, packing, phrase_dedup, source_mixing, suffix_dedup, token_files, toxicity
+from tidegauge.llm import bloom_lm, curve_search, exact_search, jaccard_join, packing, phrase_dedup, seqhash, source_mixing, suffix_dedup, token_files, toxicity
 
 from . import brute
 
@@ -130,6 +130,18 @@ def test_suffix_dedup(docs, rows, nothing):
     assert suffix_dedup.dedup(nothing).count() == 0
 
 
+def test_anchors_are_the_same_in_blocks(monkeypatch):
+    rng = np.random.default_rng(5)
+    lengths = np.array([400, 0, 49, 50, 3000, 700])
+    sym = suffix_dedup.bytes_as_symbols(np.r_[rng.integers(0, 4, lengths.sum() - 600), np.zeros(600)].astype(np.uint8), lengths)[0]
+    for k, window in ((20, 50), (12, 50), (5, 5)):
+        whole = [x.tolist() for x in seqhash.minimizers(sym, lengths, k, window)]
+        for most in (window + 1, 64, 257, len(sym), len(sym) + window):
+            with monkeypatch.context() as m:
+                m.setattr(seqhash, "MAX_CHUNK", most)
+                assert [x.tolist() for x in seqhash.minimizers(sym, lengths, k, window)] == whole
+
+
 def test_suffix_family_levels():
     f = suffix_dedup.SuffixFamily()
     rng = random.Random(4)

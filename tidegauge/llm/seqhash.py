@@ -14,7 +14,7 @@ BASE = 0x9E3779B97F4A7C15 | 1
 BASE_INV = pow(BASE, -1, 1 << 64)
 POS_BITS = 24
 POS_MASK = U((1 << POS_BITS) - 1)
-#: The longest sequence that minimizers() can number.
+#: Positions are numbered within blocks of fewer symbols than this.
 MAX_CHUNK = 1 << POS_BITS
 
 
@@ -95,19 +95,24 @@ def minimizers(sym: np.ndarray, lengths: np.ndarray, k: int, window: int):
     nothing but the window's content: equal windows have equal anchors at equal
     offsets. Returns (anchor position, fingerprint of its k-gram, first window
     start, last window start) for each run of windows that share an anchor.
+    Longer sequences are gone through in overlapping blocks, with the same result.
     """
-    assert len(sym) < MAX_CHUNK
     empty = np.empty(0, dtype=np.int64)
     if len(sym) < window:
         return empty, empty.astype(U), empty, empty
     g = mix(grams(sym, k))
-    keyed = (g & ~POS_MASK) | np.arange(len(g), dtype=U)
-    least = sliding_min(keyed, window - k + 1)
+    within = window - k + 1
+    step = MAX_CHUNK - within  # windows of a block
+    least = np.empty(len(g) - within + 1, dtype=np.int64)
+    for i in range(0, len(least), step):
+        part = g[i : i + step + within - 1]
+        keyed = (part & ~POS_MASK) | np.arange(len(part), dtype=U)
+        least[i : i + step] = (sliding_min(keyed, within) & POS_MASK).astype(np.int64) + i
     ends = np.repeat(np.cumsum(lengths), lengths)[: len(least)]
     starts = np.flatnonzero(np.arange(len(least)) + window <= ends)
     if not len(starts):
         return empty, empty.astype(U), empty, empty
-    at = (least[starts] & POS_MASK).astype(np.int64)
+    at = least[starts]
     new = np.empty(len(at), dtype=bool)
     new[0] = True
     np.not_equal(at[1:], at[:-1], out=new[1:])
