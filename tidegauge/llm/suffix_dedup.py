@@ -5,7 +5,9 @@ with a smaller doc_id goes. Suffixes are dealt to shards by their anchors (see
 sequence_dedup); of a shard, documents come in batches by ascending doc_id.
 A batch gets a suffix array (its suffixes' leading ``window`` bytes, sorted),
 is merge-scanned against the existing levels, and what is new in it becomes a
-level; levels of about equal size merge. All comparisons are of the bytes.
+level; levels of about equal size merge. The family compares bytes. Stretches
+equal to one of an earlier document are settled before it, by a 64-bit
+fingerprint, in their bucket or shard.
 """
 
 from __future__ import annotations
