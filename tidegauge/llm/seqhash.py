@@ -7,6 +7,8 @@ k-gram and no window ever crosses a document boundary.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 U = np.uint64
@@ -87,6 +89,10 @@ def spans(sym: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return mix((acc[ends] - acc[starts]) * powers(BASE_INV, len(sym) + 1)[starts] + (ends - starts).astype(U))
 
 
+#: Windows that minimizers() goes through at a time: temporary arrays stay this long, however long the texts.
+BLOCK = 1 << 20
+
+
 def minimizers(sym: np.ndarray, lengths: np.ndarray, k: int, window: int):
     """The anchors of every ``window`` symbols long stretch of each document.
 
@@ -95,30 +101,33 @@ def minimizers(sym: np.ndarray, lengths: np.ndarray, k: int, window: int):
     nothing but the window's content: equal windows have equal anchors at equal
     offsets. Returns (anchor position, fingerprint of its k-gram, first window
     start, last window start) for each run of windows that share an anchor.
-    Longer sequences are gone through in overlapping blocks, with the same result.
+    Sequences are gone through in overlapping blocks, with the same result for
+    any size of them.
     """
     empty = np.empty(0, dtype=np.int64)
-    if len(sym) < window:
+    out = []
+    bounds, within = np.cumsum(lengths), window - k + 1
+    step = min(BLOCK, MAX_CHUNK - within)  # windows of a block
+    for i in range(0, len(sym) - window + 1, step):
+        part = sym[i : i + step + window - 1]
+        g = mix(grams(part, k))
+        keyed = (g & ~POS_MASK) | np.arange(len(g), dtype=U)
+        least = (sliding_min(keyed, within) & POS_MASK).astype(np.int64)
+        del keyed
+        # windows that end within the document that they start in
+        at = i + np.arange(len(least))
+        starts = np.flatnonzero(at + window <= bounds[np.minimum(np.searchsorted(bounds, at, side="right"), len(bounds) - 1)])
+        if not len(starts):
+            continue
+        at = least[starts]
+        first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+        last = np.append(first[1:], len(at)) - 1
+        out.append((at[first] + i, g[at[first]], starts[first] + i, starts[last] + i))
+    if not out:
         return empty, empty.astype(U), empty, empty
-    g = mix(grams(sym, k))
-    within = window - k + 1
-    step = MAX_CHUNK - within  # windows of a block
-    least = np.empty(len(g) - within + 1, dtype=np.int64)
-    for i in range(0, len(least), step):
-        part = g[i : i + step + within - 1]
-        keyed = (part & ~POS_MASK) | np.arange(len(part), dtype=U)
-        least[i : i + step] = (sliding_min(keyed, within) & POS_MASK).astype(np.int64) + i
-    ends = np.repeat(np.cumsum(lengths), lengths)[: len(least)]
-    starts = np.flatnonzero(np.arange(len(least)) + window <= ends)
-    if not len(starts):
-        return empty, empty.astype(U), empty, empty
-    at = least[starts]
-    new = np.empty(len(at), dtype=bool)
-    new[0] = True
-    np.not_equal(at[1:], at[:-1], out=new[1:])
-    first = np.flatnonzero(new)
-    last = np.append(first[1:], len(at)) - 1
-    return at[first], g[at[first]], starts[first], starts[last]
+    at, g, first, last = (np.concatenate(x) for x in zip(*out, strict=True))
+    new = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])  # a run may go on in the next block
+    return at[new], g[new], first[new], last[np.append(new[1:], len(at)) - 1]
 
 
 WHITE = np.zeros(256, dtype=bool)
@@ -132,6 +141,10 @@ NOT_LETTERS = np.ones(256, dtype=bool)
 NOT_LETTERS[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
 
 
+#: Words of more bytes get a cryptographic hash: there are different words of 1024 bytes that a polynomial modulo 2**64 can't tell apart.
+LONG_WORD = 512
+
+
 def words(buf: np.ndarray, lengths: np.ndarray, lower: bool = False, between: np.ndarray = WHITE):
     """Words of concatenated texts: (hash of each, start, end, words per text).
 
@@ -154,4 +167,13 @@ def words(buf: np.ndarray, lengths: np.ndarray, lower: bool = False, between: np
     stops[cut - 1] = solid[cut - 1]
     s, e = np.flatnonzero(begins), np.flatnonzero(stops) + 1
     n = np.diff(np.searchsorted(s, bounds), prepend=0)
-    return spans(BYTE_SYMBOLS[buf], s, e), s, e, n
+    h = np.empty(len(s), dtype=U)
+    i = 0
+    while i < len(s):
+        j = max(i + 1, int(np.searchsorted(e, s[i] + BLOCK, side="right")))
+        if j > i + 1 or e[i] - s[i] <= LONG_WORD:
+            h[i:j] = spans(BYTE_SYMBOLS[buf[s[i] : e[j - 1]]], s[i:j] - s[i], e[i:j] - s[i])
+        i = j
+    for i in np.flatnonzero(e - s > LONG_WORD):
+        h[i] = int.from_bytes(hashlib.blake2b(buf[s[i] : e[i]].tobytes(), digest_size=8).digest(), "little")
+    return h, s, e, n

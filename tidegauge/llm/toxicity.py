@@ -24,8 +24,8 @@ from .common import ids_of, pieces, prepare, text_arrays, texts
 from .seqhash import BYTE_SYMBOLS, LOWER, NOT_LETTERS, U, grams, mix, spans, words
 from .sequence_dedup import null_id
 
-#: Weights, and the largest number of labelled rows that the classifier is fitted on.
-FEATURES, TRAIN_ROWS = 1 << 19, 12_000
+#: Weights, and the largest numbers of labelled rows, and of features in all of them, that the classifier is fitted on.
+FEATURES, TRAIN_ROWS, TRAIN_FEATURES = 1 << 19, 12_000, 1 << 24
 #: First bytes of words that are features besides whole words.
 PREFIXES = (4, 5)
 STEPS, RATE, L2, COUNTERFACTUAL = 150, 0.1, 1e-3, 1.0
@@ -72,45 +72,72 @@ class Classifier:
     def __init__(self, weights: np.ndarray, bias: float):
         self.weights, self.bias = weights, bias
 
+    def __reduce__(self):
+        at = np.flatnonzero(self.weights)
+        return _of_few, (at, self.weights[at], self.bias)
+
     def scores(self, buf: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         owner, f = features(buf, lengths)
         z = self.bias + np.bincount(owner, weights=self.weights[f], minlength=len(lengths))
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
-def _sparse(texts_: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    owners, found = [np.empty(0, np.int32)], [np.empty(0, np.int32)]
-    for i in range(0, len(texts_), 256):
-        raw = [t.encode() for t in texts_[i : i + 256]]
-        o, f = features(np.frombuffer(b"".join(raw), dtype=np.uint8), np.array([len(t) for t in raw]))
-        owners.append((o + i).astype(np.int32))
-        found.append(f.astype(np.int32))
-    return np.concatenate(owners), np.concatenate(found)
-
-
-def _without_copies(rows: list[tuple[str, int]]) -> list[tuple[str, int]]:
-    """One of those that share any of three minima over five-word shingles, so that no group of copies makes its words look significant."""
-    seen, out = [set(), set(), set()], []
-    for text, label in rows:
-        raw = text.encode()
-        h, _, _, _ = words(np.frombuffer(raw, dtype=np.uint8), np.array([len(raw)]), lower=True)
-        g = mix(grams(h, 5)) if len(h) >= 5 else np.array([h.sum(dtype=U)])
-        least = [int(mix(g + U(k)).min()) for k in range(3)]
+def _of_few(at: np.ndarray, values: np.ndarray, bias: float) -> Classifier:
+    weights = np.zeros(FEATURES)
+    weights[at] = values
+    return Classifier(weights, bias)
+
+
+def shingle_minima(raw: bytes) -> np.ndarray:
+    """Three minima over five-word shingles: texts that share one are likely near copies."""
+    h, _, _, _ = words(np.frombuffer(raw, dtype=np.uint8), np.array([len(raw)]), lower=True)
+    g = mix(grams(h, 5)) if len(h) >= 5 else np.array([h.sum(dtype=U)])
+    return np.array([mix(g + U(k)).min() for k in range(3)], dtype=U)
+
+
+def lesson(text: str) -> tuple[bytes, bytes, bytes | None]:
+    """What a labelled text teaches: its shingle minima, its features, and those of the swapped text if it names identities."""
+
+    def of(raw: bytes) -> bytes:
+        return features(np.frombuffer(raw, dtype=np.uint8), np.array([len(raw)]))[1].astype(np.int32).tobytes()
+
+    raw = text.encode()
+    return shingle_minima(raw).tobytes(), of(raw), of(swapped(text).encode()) if _TERM.search(text) else None
+
+
+def _listed(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(row number, feature number) of lists of features."""
+    return np.repeat(np.arange(len(lists), dtype=np.int32), [len(x) for x in lists]), np.concatenate([np.empty(0, np.int32), *lists])
+
+
+def _without_copies(rows: list[tuple[bytes, bytes, bytes | None, int]], most_features: int) -> list[tuple[bytes, bytes, bytes | None, int]]:
+    """One of those that share any of the three minima, so that no group of copies makes its words look significant; up to a number of features."""
+    seen, out, size = [set(), set(), set()], [], 0
+    for row in rows:
+        least = np.frombuffer(row[0], dtype=U).tolist()
         if not any(x in s for x, s in zip(least, seen, strict=True)):
-            out.append((text, label))
+            size += len(row[1]) // 4
+            if size > most_features and out:
+                break
+            out.append(row)
             for x, s in zip(least, seen, strict=True):
                 s.add(x)
     return out
 
 
 def fit(rows: list[tuple[str, int]], steps: int = STEPS, counterfactual: float = COUNTERFACTUAL) -> Classifier:
+    """A classifier of (text, label) rows that are at hand; train() fits one to tables."""
+    return _fit([(*lesson(text), label) for text, label in rows], steps, counterfactual)
+
+
+def _fit(rows: list[tuple[bytes, bytes, bytes | None, int]], steps: int = STEPS, counterfactual: float = COUNTERFACTUAL, most_features: int = TRAIN_FEATURES) -> Classifier:
     """Full-batch Adam, so the same rows give the same weights; without both labels, a constant score."""
-    rows = _without_copies(rows)
-    y = np.array([label for _, label in rows], dtype=np.float64)
+    rows = _without_copies(rows, most_features)
+    y = np.array([label for *_, label in rows], dtype=np.float64)
     if not len(y) or y.min() == y.max():
         return Classifier(np.zeros(FEATURES), 0.0 if not len(y) else (4.0 if y[0] else -4.0))
     mean = y.mean()
-    owner, f = _sparse([t for t, _ in rows])
+    owner, f = _listed([np.frombuffer(x, dtype=np.int32) for _, x, _, _ in rows])
     n, toxic = np.bincount(f, minlength=FEATURES), np.bincount(f, weights=y[owner], minlength=FEATURES)
     chosen = np.flatnonzero((n >= LEAST) & (np.abs(toxic - n * mean) >= SIGNIFICANT * np.sqrt(n * mean * (1 - mean))))
     number = np.full(FEATURES, -1)
@@ -121,8 +148,8 @@ def fit(rows: list[tuple[str, int]], steps: int = STEPS, counterfactual: float =
         return owner[keep], number[f[keep]]
 
     owner, f = select(owner, f)
-    paired = [t for t, _ in rows if _TERM.search(t)] if counterfactual else []
-    pairs = [select(*_sparse(x)) for x in (paired, [swapped(t) for t in paired])] if paired else []
+    paired = [(np.frombuffer(x, dtype=np.int32), np.frombuffer(z, dtype=np.int32)) for _, x, z, _ in rows if z is not None] if counterfactual else []
+    pairs = [select(*_listed(list(side))) for side in zip(*paired, strict=True)] if paired else []
     size = len(chosen)
     balance = np.where(y > 0, 0.5 / mean, 1.0) / len(y)
     w, b = np.zeros(size), float(np.log(mean / (1 - mean)))
@@ -146,18 +173,41 @@ def fit(rows: list[tuple[str, int]], steps: int = STEPS, counterfactual: float =
     return Classifier(weights, float(b))
 
 
-def train(docs: DataFrame, labels: DataFrame, folds: int = 5, held_fold: int = 0, most: int = TRAIN_ROWS) -> Classifier:
-    """Fits on at most ``most`` labelled documents outside the held-out fold, the first by a hash of doc_id.
+def train(docs: DataFrame, labels: DataFrame, folds: int = 5, held_fold: int = 0, most: int = TRAIN_ROWS, most_features: int = TRAIN_FEATURES) -> Classifier:
+    """Fits on labelled documents outside the held-out fold, in the order of a hash of doc_id.
 
-    Labels that are null or contradict each other, and null ids, teach nothing.
+    At most ``most`` of them, and as many as have ``most_features`` features in
+    all, teach. Executors turn texts into features, and one task fits them; the
+    driver sees the weights only. Labels that are null or contradict each
+    other, and null ids, teach nothing; of rows with one id, the least text does.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)")
     known = known.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds != held_fold).groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("other")).where("toxic = other")
-    known = known.join(docs.select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    known = known.join(docs.select(F.col("doc_id").cast("long").alias("doc_id")), "doc_id", "left_semi")
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).select("doc_id", "toxic")  # a bounded number of pairs of integers
     rows = texts(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic")
-    rows = rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("doc_id", "text", "toxic").collect()
-    return fit([(r.text, r.toxic) for r in sorted(rows, key=lambda r: r.doc_id)])
+    rows = rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("doc_id", "text", "toxic")
+
+    def teach(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in rows:
+            for i in range(0, b.num_rows, 64):
+                s = b.slice(i, 64)
+                least, own, other = zip(*map(lesson, s.column(1).to_pylist()), strict=True)
+                yield pa.RecordBatch.from_arrays([s.column(0), s.column(2), *(pa.array(x, pa.binary()) for x in (least, own, other))], names=["doc_id", "toxic", "least", "own", "other"])
+
+    def learn(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [row for b in rows for row in zip(*(b.column(i).to_pylist() for i in (2, 3, 4, 1)), strict=True)]
+        model = _fit(held, most_features=most_features)
+        at = np.flatnonzero(model.weights)
+        yield pa.RecordBatch.from_arrays([pa.array([model.bias]), pa.array([at.astype(np.int32).tobytes()], pa.binary()), pa.array([model.weights[at].tobytes()], pa.binary())], names=["bias", "feature", "weight"])
+
+    lessons = rows.mapInArrow(teach, "doc_id long, toxic int, least binary, own binary, other binary")
+    # one task for a number of rows that doesn't grow with the table
+    learnt = lessons.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id").mapInArrow(learn, "bias double, feature binary, weight binary").collect()
+    weights = np.zeros(FEATURES)
+    for r in learnt:
+        weights[np.frombuffer(r.feature, dtype=np.int32)] = np.frombuffer(r.weight)
+    return Classifier(weights, learnt[0].bias if learnt else 0.0)
 
 
 def score(docs: DataFrame, labels: DataFrame, folds: int = 5, held_fold: int = 0, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -182,5 +232,3 @@ def score(docs: DataFrame, labels: DataFrame, folds: int = 5, held_fold: int = 0
 
     schema = "doc_id long, held_out boolean, score double, predicted int" + (", text string" + "".join(f", `{c}` {d.schema[c].dataType.simpleString()}" for c in carry) if carry else "")
     return d.mapInArrow(rate, schema)
-
-
