@@ -2,11 +2,13 @@
 
 Each word covered by a ``window``-word sequence that also starts in a document
 with a smaller doc_id goes. Phrases (the ``gram`` words of anchors, see
-sequence_dedup) that two or more documents share are confirmed first. Each
-bucket of documents compiles an Aho-Corasick automaton over the confirmed
-phrases that it needs, spelled in a few letters a word, and streams all its
-documents through it. Around every phrase located, the windows go to the shard
-of the phrase, where the first document of each is found.
+sequence_dedup) that two or more documents share are confirmed first, by their
+spelling in a few letters a word. The confirmed phrases are dealt to automaton
+shards, one for each bucket of documents, with the phrases that occur anywhere
+in the bucket: so a document passes one automaton, and every phrase that it can
+hold is in that. All documents stream through, and the hits locate the phrases.
+Windows around them go to the phrase's shard, where the first document of each
+is found.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import DataFrame
 
 from .common import by_key, discard, ids_of, materialize, n_shards, pieces, prepare, runs, text_arrays, texts
 from .seqhash import U, grams, mix, spans, words
-from .sequence_dedup import BLOB, Anchors, ByDocument, beside, blob, covered, gathered, grouped, key_of, null_id, recurring, sent, slots
+from .sequence_dedup import BLOB, FLUSH, Anchors, ByDocument, beside, blob, covered, gathered, grouped, key_of, keyed, null_id, opened, sent, slots
 from .suffix_dedup import MARK
 
 #: Words of an anchor phrase.
@@ -36,67 +38,144 @@ def words_as_symbols(buf: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray,
 
 
 #: Letters of a word in an automaton's text, and the bits of each: few enough that a node has few children to look through.
-LETTERS, LETTER_BITS = 4, 6
-
-
-def spelled(sym: np.ndarray) -> str:
-    """Words as text of LETTERS letters each, for an automaton; hits count at whole words only."""
+#: Unlike words that are spelled alike only give windows that are judged in vain.
+LETTERS, LETTER_BITS = 2, 6
+#: Stands between documents, twice; no letter of a word.
+BETWEEN = 47
+#: Bytes of text behind one bucket at most: an automaton takes some 1.5 KB a phrase, and at most every 25th word begins one.
+BUCKET_BYTES = 32 << 20
+#: Windows that a bucket holds before it sends them on.
+WINDOWS_HELD = 1 << 21
+
+
+def lettered(sym: np.ndarray) -> np.ndarray:
+    """LETTERS letters for each word, a row each."""
     shifts = np.arange(LETTERS, dtype=U) * U(LETTER_BITS)
-    codes = ((sym[:, None] >> shifts) & U((1 << LETTER_BITS) - 1)).astype(np.uint8) + 48
-    return codes.tobytes().decode("latin-1")
+    return ((sym[:, None] >> shifts) & U((1 << LETTER_BITS) - 1)).astype(np.uint8) + np.uint8(48)
 
 
-def automaton(phrases: set[str]) -> ahocorasick.Automaton:
-    a = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-    for i, p in enumerate(phrases):
-        a.add_word(p, i)
+def automaton(payloads: list[bytes], k: int) -> ahocorasick.Automaton:
+    """The automaton of all phrases of k words in some blobs."""
+    a = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+    for p in payloads:
+        letters = opened(p, np.uint8)[0].tobytes().decode("ascii")
+        for i in range(0, len(letters), k * LETTERS):
+            a.add_word(letters[i : i + k * LETTERS])
     a.make_automaton()
     return a
 
 
+def located(machine: ahocorasick.Automaton, sym: np.ndarray, n: np.ndarray, k: int) -> np.ndarray:
+    """Which words of some texts, of n words each, begin a phrase of the automaton."""
+    where = np.arange(len(sym)) + np.repeat(np.arange(len(n)), n)
+    wide = np.full((len(sym) + len(n), LETTERS), BETWEEN, dtype=np.uint8)
+    wide[where] = lettered(sym)
+    ends = np.fromiter((e for e, _ in machine.iter(wide.tobytes().decode("ascii"))), dtype=np.int64) + 1
+    seen = np.zeros(len(wide), dtype=bool)
+    seen[ends[ends % LETTERS == 0] // LETTERS - k] = True
+    return seen[where]
+
+
+def phrases_at(sym: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+    """The spelled phrases of k words from each position, a row of bytes each."""
+    return lettered(sym)[at[:, None] + np.arange(k)].reshape(len(at), k * LETTERS)
+
+
+def phrase_keys(phrases: np.ndarray) -> np.ndarray:
+    """A hash of each phrase's letters, which are a multiple of 8 bytes."""
+    h = np.zeros(len(phrases), dtype=U)
+    for part in np.ascontiguousarray(phrases).view(U).reshape(len(phrases), -1).T:
+        h = mix(h + part)
+    return h
+
+
+def confirmed(docs: DataFrame, anchors: Anchors, buckets: int) -> DataFrame:
+    """Blobs (bucket; letters): the phrases that occur in several documents, each once for every bucket of documents that it occurs in.
+
+    Nothing is said about documents or positions. A task that has a phrase in
+    two documents confirms it to their buckets itself, and tells its shard so
+    in one row; other phrases meet in shards.
+    """
+    n, k = buckets, anchors.k
+
+    def find(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def flush():
+            letters, doc, bucket = (np.concatenate(x) for x in zip(*held, strict=True))
+            h = phrase_keys(letters)
+            order, start = grouped(h)
+            d = doc[order]
+            known = np.minimum.reduceat(d, start) != np.maximum.reduceat(d, start)
+            first = order[start]
+            out = [blob(s, letters[first[i]].ravel(), known[i].astype(np.uint8), doc[first[i]], bucket[first[i]]) for s, i in slots(((h[first] >> U(40)) % U(n)).astype(np.int64), n)]
+            at = order[np.repeat(known, np.diff(np.append(start, len(order))))]
+            for b, i in slots(bucket[at].astype(np.int64), n):
+                i = at[i]
+                out.append(blob(-1 - b, letters[i[grouped(h[i])[1]]].ravel()))  # i is sorted by h
+            return out
+
+        for b in rows:
+            bucket, doc = b.column(0).to_numpy().astype(np.int32), ids_of(b.column(2))
+            buf, off = text_arrays(b.column(3))
+            for i, j in pieces(off):
+                sym, m, d, pos, _, _, _ = anchors.of(buf[off[i] : off[j]], np.diff(off[i : j + 1]))
+                if not len(d):
+                    continue
+                held.append((phrases_at(sym, (np.cumsum(m) - m)[d] + pos, k), doc[i + d], bucket[i + d]))
+                size += len(d)
+                if size > FLUSH:
+                    yield from sent(flush())
+                    held, size = [], 0
+        if size:
+            yield from sent(flush())
+
+    def meet(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard, group in runs(rows):
+            payloads = [p for b in group for p in b.column(1).to_pylist()]
+            if shard < 0:  # confirmed already: passed on
+                yield from sent([(-1 - int(shard), p) for p in payloads])
+                continue
+            letters, known, doc, bucket = gathered(payloads, np.uint8, np.uint8, np.int64, np.int32)
+            letters = letters.reshape(len(doc), k * LETTERS)
+            order, start = grouped(phrase_keys(letters))
+            d = doc[order]
+            often = (np.minimum.reduceat(d, start) != np.maximum.reduceat(d, start)) | (np.maximum.reduceat(known[order], start) > 0)
+            back = order[np.repeat(often, np.diff(np.append(start, len(order))))]
+            back = back[known[back] == 0]
+            yield from sent([blob(b, letters[back[i]].ravel()) for b, i in slots(bucket[back].astype(np.int64), n)])
+
+    found = keyed(docs, n).mapInArrow(find, BLOB)
+    return by_key(found, n, "shard", meet, BLOB).withColumnRenamed("shard", "bucket")
+
+
 class Passages:
-    """A bucket's documents, streamed through the automaton of its recurring phrases."""
+    """A bucket's documents, streamed through the automaton of the confirmed phrases that occur somewhere in the bucket.
+
+    The automaton's hits, and nothing else, say where.
+    """
 
     def __init__(self, bucket: int, anchors: Anchors, shards: int):
         self.bucket, self.anchors, self.shards = bucket, anchors, shards
-        self.recurring = ByDocument(np.uint32)
-        self.held = []
+        self.payloads, self.machine = [], None
+        self.held, self.size = [], 0
 
     def take(self, payloads: list[bytes]) -> None:
-        self.recurring.add(payloads)
+        self.payloads += payloads
 
     def docs(self, row: pa.Array, doc_id: pa.Array, text: pa.Array) -> Iterator[pa.RecordBatch]:
+        k, window = self.anchors.k, self.anchors.window
+        if self.payloads:
+            self.machine, self.payloads = automaton(self.payloads, k), []
+        if self.machine is None:  # no phrase of this bucket is confirmed
+            return
         doc = ids_of(doc_id)
         key = key_of(row.to_numpy(), doc)
         buf, off = text_arrays(text)
         for i, j in pieces(off):
-            self.held.append((self.anchors.of(buf[off[i] : off[j]], np.diff(off[i : j + 1])), key[i:j], doc[i:j]))
-        return iter(())
-
-    def end(self) -> Iterator[pa.RecordBatch]:
-        k, window, held = self.anchors.k, self.anchors.window, self.held
-        self.held = []
-        if not held:
-            return
-        texts_, phrases = [], set()
-        for (sym, n, _, _, _, _, _), key, _ in held:
+            sym, n, d, pos, g, first, last = self.anchors.of(buf[off[i] : off[j]], np.diff(off[i : j + 1]))
             begin = np.cumsum(n) - n
-            texts_.append(text := spelled(sym))
-            for x in range(len(n)):
-                (known,) = self.recurring.of(key[x])
-                for at in ((begin[x] + known) * LETTERS).tolist():
-                    phrases.add(text[at : at + k * LETTERS])
-        if not phrases:
-            return
-        machine, out = automaton(phrases), []
-        del phrases
-        for text, ((sym, n, d, pos, g, first, last), key, doc) in zip(texts_, held, strict=True):
-            begin = np.cumsum(n) - n
-            seen = np.zeros(len(sym) + 1, dtype=bool)
-            for a, z in zip((begin * LETTERS).tolist(), ((begin + n) * LETTERS).tolist(), strict=True):
-                ends = np.fromiter((e for e, _ in machine.iter(text, a, z)), dtype=np.int64) + 1
-                seen[ends[ends % LETTERS == 0] // LETTERS - k] = True
-            here = seen[begin[d] + pos]
+            here = located(self.machine, sym, n, k)[begin[d] + pos] if len(d) else np.empty(0, dtype=bool)
             d, g, first, last = d[here], g[here], first[here], last[here]
             if not len(d):
                 continue
@@ -104,10 +183,17 @@ class Passages:
             size = last - first + 1
             hashes = mix(grams(sym, window))
             where = np.arange(size.sum()) + np.repeat(a - (np.cumsum(size) - size), size)
-            out.append((hashes[where], size, spans(sym, a, begin[d] + last + window), g, key[d], doc[d], first, last))
-        if not out:
+            self.held.append((hashes[where], size, spans(sym, a, begin[d] + last + window), g, key[i + d], doc[i + d], first, last))
+            self.size += len(where)
+            if self.size > WINDOWS_HELD:
+                yield from self.end()
+
+    def end(self) -> Iterator[pa.RecordBatch]:
+        """Settles what the bucket itself shows, and sends one stretch of each kind to its phrase's shard."""
+        if not self.held:
             return
-        hashes, size, same, g, key, doc, first, last = (np.concatenate(x) for x in zip(*out, strict=True))
+        hashes, size, same, g, key, doc, first, last = (np.concatenate(x) for x in zip(*self.held, strict=True))
+        self.held, self.size = [], 0
         order, start = grouped(same)
         least = np.empty(len(doc), dtype=np.int64)
         least[order] = np.repeat(np.minimum.reduceat(doc[order], start), np.diff(np.append(start, len(order))))
@@ -197,14 +283,16 @@ def dedup(docs: DataFrame, window: int = 50, gram: int = GRAM, keep_text: bool =
     Words are runs of bytes other than space and 0x09-0x0D, unchanged; a null
     text has none. Rows without a doc_id come after all others and not before
     each other; of rows with one doc_id, none is earlier. An empty table gives
-    none. Words are compared by 64-bit fingerprints.
+    none. Words are compared by 64-bit fingerprints. ``gram`` must be a multiple of 4.
     """
+    if gram * LETTERS % 8:
+        raise ValueError("gram must be a multiple of 4")
     spark = docs.sparkSession
     prepare(spark)
     d = texts(docs)
-    n = buckets = n_shards(d)
+    n = buckets = n_shards(d, BUCKET_BYTES)
     anchors = Anchors(words_as_symbols, gram, window)
-    again = materialize(recurring(d, anchors, buckets), "recurring")
+    again = materialize(confirmed(d, anchors, buckets), "phrases")
     passages = beside(d, again, buckets, lambda bucket: Passages(bucket, anchors, buckets), BLOB)
     marks = materialize(by_key(passages, n, "shard", judge(buckets), BLOB).withColumnRenamed("shard", "bucket"), "marks")
     discard(again)
