@@ -4,9 +4,10 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from tidegauge.llm import bloom_lm, curve_search, exact_search, jaccard_join, packing, phrase_dedup, seqhash, source_mixing, suffix_dedup, token_files, toxicity
+from tidegauge.llm import bloom_lm, curve_search, exact_search, jaccard_join, packing, phrase_dedup, seqhash, sequence_dedup, source_mixing, suffix_dedup, token_files, toxicity
 
 from . import brute
 
@@ -160,6 +161,46 @@ def test_phrase_dedup(docs, rows, nothing):
     assert phrase_dedup.dedup(nothing).count() == 0
 
 
+def test_the_automaton_locates_phrases():
+    """Phrases go in without documents or positions; windows come out where the automaton finds them, and only there."""
+    anchors = sequence_dedup.Anchors(phrase_dedup.words_as_symbols, 12, 50)
+    rng = random.Random(13)
+    shared = [f"p{i}" for i in range(70)]
+    texts = [" ".join([f"w{rng.randrange(10**6)}" for _ in range(rng.randint(0, 90))] + shared * (i % 3 > 0) + [f"w{rng.randrange(10**6)}" for _ in range(60)]).encode() for i in range(12)] + [b"", b"one two"]
+    buf, lengths = np.frombuffer(b"".join(texts), np.uint8), np.array([len(t) for t in texts])
+    sym, n, d, pos, _, first, last = anchors.of(buf, lengths)
+    begin = np.cumsum(n) - n
+    letters = phrase_dedup.phrases_at(sym, begin[d] + pos, 12)
+    keys = phrase_dedup.phrase_keys(letters)
+    kinds, often = np.unique(keys, return_counts=True)
+    common = np.isin(keys, kinds[often > 1])
+    assert {int(x) for x in d[common]} == {i for i in range(12) if i % 3 > 0}
+
+    def windows(payloads):
+        bucket = phrase_dedup.Passages(0, anchors, 4)
+        bucket.take(payloads)
+        rows = pa.array(range(14), pa.int64()), pa.array(range(14), pa.int64()), pa.array([t.decode() for t in texts])
+        out = pa.Table.from_batches([*bucket.docs(*rows), *bucket.end()], schema=sequence_dedup.BLOB_SCHEMA)
+        return sum(len(sequence_dedup.opened(p, *phrase_dedup.WINDOWS)[0]) for s, p in zip(out["shard"].to_pylist(), out["payload"].to_pylist(), strict=True) if s >= 0), out.num_rows
+
+    phrases = np.unique(letters[common], axis=0)
+    all_found = windows([sequence_dedup.blob(0, phrases.ravel())[1]] * 2)
+    some = windows([sequence_dedup.blob(0, phrases[: len(phrases) // 2].ravel())[1]])
+    assert all_found[0] > some[0] > 0 and windows([]) == (0, 0)
+    assert windows([sequence_dedup.blob(0, np.full(24, 60, np.uint8))[1]]) == (0, 0)
+    machine = phrase_dedup.automaton([sequence_dedup.blob(0, phrases.ravel())[1]], 12)
+    assert (phrase_dedup.located(machine, sym, n, 12)[begin[d] + pos] == common).all()
+
+
+def test_long_words_differ():
+    """Words that a polynomial modulo 2**64 confuses are told apart."""
+    a, b = b"a", b"b"
+    for _ in range(11):
+        a, b = a + b, b + a
+    h, _, _, n = seqhash.words(np.frombuffer(a + b" " + b + b" " + a, np.uint8), np.array([2 * 2048 + 1, 2049]))
+    assert len(h) == 3 and n.tolist() == [2, 1] and h[0] != h[1] and h[0] == h[2]
+
+
 def test_source_mixing(docs, rows, nothing):
     out = source_mixing.mix(docs)
     again = got(out, "doc_id", "source", "size", "taken")
