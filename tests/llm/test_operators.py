@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from tidegauge.llm import bloom_lm, curve_search, exact_search, jaccard_join, packing, phrase_dedup, seqhash, sequence_dedup, source_mixing, suffix_dedup, token_files, toxicity
+from tidegauge.llm import bloom_lm, curve_search, exact_search, jaccard_join, packing, phrase_dedup, seqhash, sequence_dedup, source_mixing, suffix_dedup, token_files, toxicity, voronoi
 
 from . import brute
 
@@ -118,11 +118,76 @@ def test_large_regions_recurse():
     for a, b in jaccard_join.allowed([jaccard_join.sketch_of(s) for s in sets], n):
         root[find(a)] = find(b)
     assert [find(i) == find(i - 1) for i in range(1, len(sets))] == [i % 40 > 0 for i in range(1, len(sets))]
-    linked = jaccard_join.links(sets[:400])
-    root = list(range(len(sets)))
-    for a, b in linked:
+
+
+def classes(m, links):
+    root = list(range(m))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
         root[find(a)] = find(b)
-    assert len({find(i) for i in range(400)}) == 10
+    least = {}
+    return [least.setdefault(find(i), i) for i in range(m)]
+
+
+def chained_sets(rng, groups, each):
+    """Groups whose members differ step by step, so that the ends of a group aren't linked, and some unrelated sets."""
+    sets = []
+    for _ in range(groups):
+        now = rng.integers(0, 2**63, int(rng.integers(3, 90))).astype(np.uint64)
+        for _ in range(each):
+            now = now.copy()
+            now[rng.random(len(now)) < 0.07] = rng.integers(0, 2**63, 1).astype(np.uint64)[0]
+            sets.append(np.unique(now))
+    return sets
+
+
+def brute_links(sets, percent=80):
+    for a in range(len(sets)):
+        for b in range(a):
+            common = len(np.intersect1d(sets[a], sets[b]))
+            if 100 * common >= percent * (len(sets[a]) + len(sets[b]) - common):
+                yield a, b
+
+
+def test_voronoi_cells_in_a_task():
+    """Cells, windows and guests give the classes that all pairs give."""
+    rng = np.random.default_rng(14)
+    for _ in range(8):
+        sets = chained_sets(rng, 6, int(rng.integers(2, 30)))
+        want = list(brute_links(sets))
+        for pivots in (1, 2, 8):
+            found = voronoi.join(sets, 80, None, pivots)
+            assert set(map(tuple, map(sorted, found))) <= set(map(tuple, map(sorted, want)))
+            assert classes(len(sets), found) == classes(len(sets), want)
+
+
+def test_voronoi_regions_in_spark(spark, monkeypatch):
+    """Regions of large cells, with their replicated guests, are the cells of further levels, and give the classes that all pairs give."""
+    rng = np.random.default_rng(15)
+    sets = chained_sets(rng, 5, 40) + chained_sets(rng, 60, 1)
+    rows = [(i % 2, 2 * i + i % 2, s.tobytes()) for i, s in enumerate(sets)]
+    levels = []
+    kept = voronoi.materialize
+
+    def watched(df, name, free=True):
+        out = kept(df, name, free)
+        if name.startswith("cells"):
+            levels.append([out.where(f"{'' if own else 'not '}own").count() for own in (True, False)] + [out.select("cell").distinct().count()])
+        return out
+
+    monkeypatch.setattr(voronoi, "materialize", watched)
+    found = [(r.a, r.b) for r in voronoi.edges(spark.createDataFrame(rows, "region long, node long, members binary"), 80, 16, 4, 4).collect()]
+    number = {r[1]: i for i, r in enumerate(rows)}
+    assert len(levels) >= 2 and levels[0][1] > 0 and levels[0][2] > 2  # recursion, guests, cells
+    for region in (0, 1):
+        mine = [i for i in range(len(sets)) if i % 2 == region]
+        want = classes(len(mine), brute_links([sets[i] for i in mine]))
+        assert classes(len(mine), [(mine.index(number[a]), mine.index(number[b])) for a, b in found if a % 2 == region]) == want
 
 
 def test_suffix_dedup(docs, rows, nothing):
