@@ -281,6 +281,24 @@ def test_source_mixing(docs, rows, nothing):
     assert source_mixing.mix(nothing).count() == 0
 
 
+def test_shards_have_integer_quotas(docs, rows):
+    """Of several shards a source, the quotas add up to the source's, follow the highest quotients, and are what is taken."""
+    out = source_mixing.mix(docs, shard_words=300).collect()
+    by = {}
+    for r in out:
+        by.setdefault((r.source, r.quota), {}).setdefault((r.shard, r.shard_quota), []).append(r)
+    assert any(len(shards) > 2 for shards in by.values())
+    for (_, quota), shards in by.items():
+        size = {s: sum(r.size for r in rs) for (s, _), rs in shards.items()}
+        won = dict.fromkeys(size, 0)
+        for _ in range(quota if any(size.values()) else 0):
+            won[min(won, key=lambda s: (-size[s] / (2 * won[s] + 1), s))] += 1
+        for (s, q), rs in shards.items():
+            assert q == min(won[s], 2 * -(-size[s] // 16))
+            assert abs(sum(r.taken for r in rs) - 16 * q) <= 32
+            assert all(0 <= r.taken <= 2 * r.size for r in rs)
+
+
 def test_sainte_lague_quotas(spark):
     """Quotas are those of the highest quotients, one by one."""
     rng = random.Random(6)

@@ -44,7 +44,6 @@ MIX = f"""
 with d as (
   select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_WORD}')) size,
     md5(concat_ws('|', '17', coalesce(cast(doc_id as varchar), ''), md5(coalesce(text, '')))) m from documents),
-k as (select *, cast('0x' || substr(m, 1, 15) as bigint) h, cast('0x' || substr(m, 16, 8) as bigint) % 64 shard from d),
 s as (select source, cast(sum(size) as bigint) source_size, row_number() over (order by source nulls last) - 1 r from d group by 1),
 w as (select *, cast([5, 2, 1][r % 3 + 1] as double) weight, sum(source_size) over () * 1.5 goal, ceil(source_size / 16)::bigint blocks from s),
 f as (select *, source_size * 2 / weight room, coalesce(sum(source_size * 2) over o, 0) filled, sum(weight) over () - coalesce(sum(weight) over o, 0) free,
@@ -54,15 +53,23 @@ g as (select *, arg_min((goal - filled) / free, nth) filter (where (goal - fille
 t as (select source, source_size, weight, blocks, least(source_size * 2.0::double, weight * cast(lev as double)) target from g),
 c as (select source, target / (2 * i + 1) quotient, i from (select source, target, unnest(range(0, cast(ceil(target / 16) as bigint) + 30)) i from t)),
 q as (select source, count(*) won from (select source, row_number() over (order by quotient desc, source nulls last, i) n from c where quotient > 0) where n <= (select round(sum(target) / 16) from t) group by 1),
-p as (select t.*, cast(least(coalesce(won, 0), blocks * 2) as bigint) quota, cast('0x' || substr(md5('17|' || coalesce(t.source, '')), 1, 15) as bigint) % greatest(blocks, 1) phase
+p as (select t.*, cast(least(coalesce(won, 0), blocks * 2) as bigint) quota, greatest(1, ceil(source_size / 1048576)::bigint) shards
   from t left join q on q.source is not distinct from t.source),
-z as (select source, shard, coalesce(sum(sum(size)) over (partition by source order by shard rows between unbounded preceding and 1 preceding), 0) shard_start from k group by 1, 2),
-e as (select k.doc_id, k.source, size, source_size, weight, target, quota, blocks, phase, quota // greatest(blocks, 1) whole, quota % greatest(blocks, 1) rest,
-  cast(shard_start + coalesce(sum(size) over (partition by k.source, k.shard order by h, doc_id rows between unbounded preceding and 1 preceding), 0) as bigint) a
-  from k join z on z.source is not distinct from k.source and z.shard = k.shard join p on p.source is not distinct from k.source),
+k as (select d.*, source_size, weight, target, quota, cast('0x' || substr(m, 1, 15) as bigint) h, cast('0x' || substr(m, 16, 8) as bigint) % shards shard
+  from d join p on p.source is not distinct from d.source),
+z as (select source, shard, any_value(quota) quota, sum(size) shard_size, sum(sum(size)) over (partition by source) words from k group by 1, 2),
+i as (select source, shard, quota, shard_size / (2 * k + 1) quotient, k
+  from (select source, shard, quota, shard_size, unnest(range(0, cast(ceil(quota * shard_size / greatest(words, 1)) as bigint) + 30)) k from z)),
+y as (select source, shard, count(*) won from (select *, row_number() over (partition by source order by quotient desc, shard, k) n from i where quotient > 0) where n <= quota group by 1, 2),
+g2 as (select z.source, z.shard, ceil(shard_size / 16)::bigint blocks, cast(least(coalesce(won, 0), ceil(shard_size / 16)::bigint * 2) as bigint) shard_quota
+  from z left join y on y.source is not distinct from z.source and y.shard = z.shard),
+e as (select doc_id, k.source, size, source_size, weight, target, quota, k.shard, shard_quota, blocks, shard_quota // greatest(blocks, 1) whole, shard_quota % greatest(blocks, 1) rest,
+  cast('0x' || substr(md5('17|' || coalesce(k.source, '') || '|' || k.shard), 1, 15) as bigint) % greatest(blocks, 1) phase,
+  cast(coalesce(sum(size) over (partition by k.source, k.shard order by h, doc_id rows between unbounded preceding and 1 preceding), 0) as bigint) a
+  from k join g2 on g2.source is not distinct from k.source and g2.shard = k.shard),
 x as (select *, a + size b, (a // 16 * rest + phase) // greatest(blocks, 1) fa, ((a // 16 + 1) * rest + phase) // greatest(blocks, 1) ga,
   ((a + size) // 16 * rest + phase) // greatest(blocks, 1) fb, (((a + size) // 16 + 1) * rest + phase) // greatest(blocks, 1) gb from e)
-select doc_id, source, cast(size as bigint) as size, source_size, weight, target, quota,
+select doc_id, source, cast(size as bigint) as size, cast(source_size as bigint) as source_size, weight, target, quota, cast(shard as bigint) as shard, shard_quota,
   cast(case when size > 0 then whole * size + (fb * 16 + b % 16 * (gb - fb)) - (fa * 16 + a % 16 * (ga - fa)) else 0 end as bigint) as taken from x"""
 
 ORACLES = {"op3_jaccard_join": JACCARD, "op5_phrase_dedup": PHRASE, "op7_source_mixing": MIX, "op10_exact_search": EXACT}
