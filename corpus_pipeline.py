@@ -59,7 +59,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", toxic), ("near duplicates", near_duplicates), ("repeated passages", repeated_passages), ("source mix", mixed), ("packing", packed)]
 
-#: A trained classifier and a tokenizer aren't SQL; tests/llm holds run() against a brute-force version.
+#: A trained classifier and a tokenizer aren't SQL; tests/llm holds each stage against a brute-force version.
 ORACLE_SQL = None
 
 
