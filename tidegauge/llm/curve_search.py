@@ -3,13 +3,15 @@
 Unit vectors are projected by seeded rotations to a few dimensions, made even
 by the sample's quantiles, shifted, and ordered along a Hilbert curve, several
 times over. Spark range-partitions each ordering, so that a row's rank is its
-partition's base plus its place. A query looks at the blocks of each ordering
-that its window of ranks touches; what the orderings find merges, and the best
-are ranked anew by exact cosines.
-
-The window is fitted: for a bounded sample of queries the true neighbours are
-found by brute force, and the window is the rank distance within which, on the
-curve that brings them closest, the wanted share of them lies.
+partition's base plus its place; of a vector, an ordering holds a code of one
+byte a component. A query looks at the rows within its window of ranks on each
+ordering; what the orderings find merges, and the best are ranked anew by exact
+cosines of the vectors.
+
+The windows are fitted: for a bounded sample of queries the true neighbours are
+found by brute force; of all numbers of orderings, with the window that finds
+the wanted share of the neighbours on them, the one with the fewest rows to look
+at is taken. That is never more than one ordering with all rows.
 """
 
 from __future__ import annotations
@@ -27,16 +29,16 @@ from . import hilbert
 from .common import by_key, materialize, n_parts, prepare
 from .vectors import best, dimension, matrices
 
-#: Orderings; dimensions and bits of each one's cells.
-CURVES, DIMS, BITS = 16, 8, 6
-#: Rows of a block.
-BLOCK = 2048
+#: Orderings at most; dimensions and bits of each one's cells.
+CURVES, DIMS, BITS = 32, 8, 6
+#: Rows of a block, at least and at most: about as many as a window has.
+BLOCKS = 256, 16384
 #: Bounds of the samples that fit the quantiles and the window.
 SAMPLE, PROBES = 4096, 256
 #: Share of the probes' true neighbours that the window must reach.
-REACH = 0.96
-#: Finalists a query keeps beyond k until exact cosines rank them.
-SPARE = 3
+REACH = 0.95
+#: Finalists a query keeps beyond k until exact cosines rank them: codes tell scores to about 0.005.
+SPARE = 11
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -55,6 +57,17 @@ def matrix(column: pa.Array, d: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.float64).reshape(-1, d)
 
 
+def coded(x: np.ndarray) -> list[bytes]:
+    """Each unit vector as a float32 step and a signed byte a component."""
+    step = (np.abs(x).max(axis=1, keepdims=True) / 127).astype(np.float32)
+    return [s.tobytes() + c.tobytes() for s, c in zip(step, np.rint(x / step).astype(np.int8), strict=True)]
+
+
+def decoded(codes: list[bytes], d: int) -> np.ndarray:
+    raw = np.frombuffer(b"".join(codes), dtype=np.int8).reshape(-1, 4 + d)
+    return raw[:, 4:] * np.ascontiguousarray(raw[:, :4]).view(np.float32)
+
+
 class Curves:
     def __init__(self, sample: np.ndarray, count: int, dims: int, bits: int, seed: int):
         rng = np.random.default_rng(seed)
@@ -116,8 +129,9 @@ def search(vectors: DataFrame, queries: str = "vec_id % 50 = 0", k: int = 5, cur
             for i in range(0, b.num_rows, 2048):
                 s = b.slice(i, 2048)
                 x = unit(matrix(s.column(1), d))
+                code = pa.array(coded(x), pa.binary())
                 for c in range(curves):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), c, np.int32)), pa.array(curve.value.keys(x, c)), *s.columns], names=["curve", "key", "g", "v"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), c, np.int32)), pa.array(curve.value.keys(x, c)), s.column(0), code], names=["curve", "key", "g", "code"])
 
     def number(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seen = TaskContext.get().partitionId(), {}
@@ -128,10 +142,10 @@ def search(vectors: DataFrame, queries: str = "vec_id % 50 = 0", k: int = 5, cur
                 at = np.flatnonzero(c == x)
                 place[at] = seen.get(x, 0) + np.arange(len(at))
                 seen[x] = seen.get(x, 0) + len(at)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(c), part, np.int32)), b.column(0), pa.array(place), b.column(2), b.column(3)], names=["part", "curve", "place", "g", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(c), part, np.int32)), b.column(0), pa.array(place), b.column(2), b.column(3)], names=["part", "curve", "place", "g", "code"])
 
-    ordered = points.mapInArrow(place, "curve int, key long, g long, v binary").repartitionByRange(n, "curve", "key", "g").sortWithinPartitions("curve", "key", "g")
-    ordered = materialize(ordered.mapInArrow(number, "part int, curve int, place long, g long, v binary"), "ordered")
+    ordered = points.mapInArrow(place, "curve int, key long, g long, code binary").repartitionByRange(n, "curve", "key", "g").sortWithinPartitions("curve", "key", "g")
+    ordered = materialize(ordered.mapInArrow(number, "part int, curve int, place long, g long, code binary"), "ordered")
     base, upto = {}, {}
     for r in sorted(ordered.groupBy("part", "curve").count().collect(), key=lambda r: (r.curve, r.part)):
         base[r.part, r.curve] = upto.get(r.curve, 0)
@@ -143,41 +157,50 @@ def search(vectors: DataFrame, queries: str = "vec_id % 50 = 0", k: int = 5, cur
             r = b.column(2).to_numpy().copy()
             for x, y in set(zip(p.tolist(), c.tolist(), strict=True)):
                 r[(p == x) & (c == y)] += base[x, y]
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(r), b.column(3), b.column(4)], names=["curve", "rank", "g", "v"])
-
-    ranked = ordered.mapInArrow(rank, "curve int, rank long, g long, v binary")
-    window = _window(points, asked, ranked, d, k, reach)
-    q = ranked.join(asked.select("g").distinct(), "g", "left_semi")
-    q = q.withColumn("block", F.explode(F.sequence(F.floor(F.greatest(F.lit(0), F.col("rank") - window) / BLOCK), F.floor(F.least(F.lit(total - 1), F.col("rank") + window) / BLOCK)))).withColumn("kind", F.lit(1))
-    both = ranked.withColumns({"block": F.floor(F.col("rank") / BLOCK), "kind": F.lit(0)}).unionByName(q)
-    both = both.select((F.col("curve") * (total // BLOCK + 1) + F.col("block")).alias("at"), "kind", "g", "v")
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(r), *b.columns[3:]], names=["curve", "rank", *b.schema.names[3:]])
+
+    places = ordered.select("part", "curve", "place", "g").mapInArrow(rank, "curve int, rank long, g long")
+    used, window = _window(points, asked, places, d, k, reach, total)
+    block = min(max(BLOCKS[0], 2 * window), BLOCKS[1])
+    some = F.col("curve") < used
+    q = places.where(some).join(asked.select("g").distinct(), "g").join(points.withColumnRenamed("v", "payload"), "g")
+    q = q.withColumn("block", F.explode(F.sequence(F.floor(F.greatest(F.lit(0), F.col("rank") - window) / block), F.floor(F.least(F.lit(total - 1), F.col("rank") + window) / block)))).withColumn("kind", F.lit(1))
+    rows_ = ordered.where(some).mapInArrow(rank, "curve int, rank long, g long, payload binary")
+    both = rows_.withColumns({"block": F.floor(F.col("rank") / block), "kind": F.lit(0)}).unionByName(q)
+    both = both.select((F.col("curve") * (total // block + 1) + F.col("block")).alias("at"), "kind", "rank", "g", "payload")
     keep = k + SPARE
 
     def look(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held, ids, x = None, [], None, None
+        """Of a block, after its rows in their order: each query's best among the rows in its window."""
+        now, held, x = None, [], None
         for b in rows:
-            key = b.column(0).to_numpy()
+            key, kind = b.column(0).to_numpy(), b.column(1).to_numpy()
             cut = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
             for i, j in zip(cut, np.r_[cut[1:], len(key)], strict=True):
                 s = b.slice(i, j - i)
                 if key[i] != now:
                     now, held, x = key[i], [], None
-                z = int(np.searchsorted(s.column(1).to_numpy(), 1))
+                z = int(np.searchsorted(kind[i:j], 1))
                 if z:
-                    held.append((s.column(2).to_numpy()[:z], unit(matrix(s.column(3).slice(0, z), d))))
+                    held.append((s.column(2).to_numpy()[:z], s.column(3).to_numpy()[:z], decoded(s.column(4).slice(0, z).to_pylist(), d)))
                 if z == s.num_rows:
                     continue
                 if x is None:
-                    ids, x = (np.concatenate(y) for y in zip(*held, strict=True))
-                q = s.column(2).to_numpy()[z:]
-                score = unit(matrix(s.column(3).slice(z), d)) @ x.T
-                score[q[:, None] == ids[None, :]] = -np.inf
-                top = best(score, keep)
-                value = np.take_along_axis(score, top, 1).ravel()
-                fine = value > -np.inf
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q, top.shape[1])[fine]), pa.array(ids[top].ravel()[fine]), pa.array(value[fine])], names=["q", "g", "score"])
-
-    found = by_key(both, n, "at", look, "q long, g long, score double", "kind").groupBy("q", "g").agg(F.max("score").alias("score"))
+                    ranks, ids, x = (np.concatenate(y) for y in zip(*held, strict=True))
+                    held = []
+                q, v = s.column(3).to_numpy()[z:], unit(matrix(s.column(4).slice(z), d)).astype(np.float32)
+                at = s.column(2).to_numpy()[z:]
+                lo, hi = np.searchsorted(ranks, at - window, "left"), np.searchsorted(ranks, at + window, "right")
+                out = []
+                for y in range(len(q)):
+                    score = x[lo[y] : hi[y]] @ v[y]
+                    score[ids[lo[y] : hi[y]] == q[y]] = -np.inf
+                    top = best(score[None], keep)[0]
+                    top = top[score[top] > -np.inf]
+                    out.append((np.full(len(top), q[y]), ids[lo[y] + top], score[top].astype(np.float64)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["q", "g", "score"])
+
+    found = by_key(both, n, "at", look, "q long, g long, score double", "kind", "rank").groupBy("q", "g").agg(F.max("score").alias("score"))
     found = found.withColumn("nth", F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), "g"))).where(f"nth <= {keep}").select("q", "g")
     found = found.unionByName(asked.select(F.col("g").alias("q"), "g").distinct())  # copies of the query itself
     pairs = found.join(points, "g").join(points.select(F.col("g").alias("q"), F.col("v").alias("qv")), "q").select("q", "g", "qv", "v")
@@ -193,8 +216,8 @@ def search(vectors: DataFrame, queries: str = "vec_id % 50 = 0", k: int = 5, cur
     return ranked_hits.where(f"rank <= {k}").select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
-def _window(points: DataFrame, asked: DataFrame, ranked: DataFrame, d: int, k: int, reach: float) -> int:
-    """Ranks to either side that reach the wanted share of a bounded sample's true neighbours."""
+def _window(points: DataFrame, asked: DataFrame, places: DataFrame, d: int, k: int, reach: float, total: int) -> tuple[int, int]:
+    """How many orderings to use, and the ranks to either side that reach the wanted share of a bounded sample's true neighbours on them."""
     spark = points.sparkSession
     probes = points.join(asked.select("g").distinct(), "g", "left_semi").orderBy(F.xxhash64("g"), "g").limit(PROBES).collect()
     ids, x = np.array([r.g for r in probes], dtype=np.int64), unit(np.stack([np.frombuffer(r.v) for r in probes]))
@@ -212,11 +235,15 @@ def _window(points: DataFrame, asked: DataFrame, ranked: DataFrame, d: int, k: i
     near = points.mapInArrow(brute, "q long, g long, score double").where("score > double('-inf')")
     near = near.withColumn("nth", F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), "g"))).where(f"nth <= {k}").select("q", "g").collect()
     if not near:
-        return 0
+        return 1, 0
     wanted = sorted({r.q for r in near} | {r.g for r in near})  # PROBES * (k + 1) at most
     small = spark.createDataFrame([(g,) for g in wanted], "g long")
     at: dict[int, dict[int, int]] = {}
-    for r in ranked.join(F.broadcast(small), "g").select("curve", "g", "rank").collect():
+    for r in places.join(F.broadcast(small), "g").select("curve", "g", "rank").collect():
         at.setdefault(r.g, {})[r.curve] = r["rank"]
-    gap = np.sort([min(abs(at[r.q][c] - at[r.g][c]) for c in at[r.q]) for r in near])
-    return int(gap[min(len(gap) - 1, int(np.ceil(reach * len(gap))) - 1)])
+    gap = np.array([[abs(at[r.q][c] - at[r.g][c]) for c in sorted(at[r.q])] for r in near])
+    least = np.sort(np.minimum.accumulate(gap, axis=1), axis=0)  # over the first 1, 2, ... orderings
+    window = least[min(len(gap) - 1, int(np.ceil(reach * len(gap))) - 1)]
+    rows = (2 * window + 1) * np.arange(1, gap.shape[1] + 1)
+    used = int(rows.argmin())
+    return (used + 1, int(window[used])) if rows[used] < total else (1, total)
