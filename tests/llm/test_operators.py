@@ -492,19 +492,38 @@ def test_own_folder_only_where_none_is_set(spark):
     spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
 
 
-def test_curve_search_over_many_blocks(spark, monkeypatch):
-    """With windows much smaller than the table, recall stays above what was asked for."""
-    monkeypatch.setattr(curve_search, "BLOCK", 16)
-    rng = np.random.default_rng(12)
-    centres = rng.normal(size=(40, 16))
-    x = centres[rng.integers(0, 40, 3000)] + 0.25 * rng.normal(size=(3000, 16))
-    rows = [(i, v.tolist()) for i, v in enumerate(x)]
-    found = curve_search.search(frame(spark, rows)).collect()
+def recall_and_rows(spark, monkeypatch, x):
+    """Recall of the five nearest, and rows looked at per query as a share of the table."""
+    seen = []
+    fitted = curve_search._window
+    monkeypatch.setattr(curve_search, "_window", lambda *a: seen.append(fitted(*a)) or seen[-1])
+    found = curve_search.search(frame(spark, [(i, v.tolist()) for i, v in enumerate(x)])).collect()
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    asked = range(0, len(x), 50)
+    assert len(found) == 5 * len(asked)
     hits = 0
-    for q in range(0, 3000, 50):
+    for q in asked:
         s = unit[q] @ unit.T
         s[q] = -2
-        best = set(np.argsort(-s)[:5].tolist())
-        hits += len(best & {r.vec_id for r in found if r.query_id == q})
-    assert len(found) == 300 and hits >= 0.9 * 300
+        hits += len(set(np.argsort(-s)[:5].tolist()) & {r.vec_id for r in found if r.query_id == q})
+    used, window = seen[0]
+    return hits / (5 * len(asked)), min(used * (2 * window + 1) / len(x), 1.0)
+
+
+def test_curve_search_in_clusters(spark, monkeypatch):
+    """With structure, windows are much smaller than the table, and recall stays."""
+    rng = np.random.default_rng(12)
+    centres = rng.normal(size=(60, 16))
+    recall, rows = recall_and_rows(spark, monkeypatch, centres[rng.integers(0, 60, 6000)] + 0.25 * rng.normal(size=(6000, 16)))
+    assert recall >= 0.9 and rows < 0.25
+
+
+def test_curve_search_without_structure(spark, monkeypatch):
+    """In plain noise, windows never cost more than looking at all rows."""
+    recall, rows = recall_and_rows(spark, monkeypatch, np.random.default_rng(13).normal(size=(4000, 24)))
+    assert recall >= 0.9 and rows <= 1.0
+
+
+def test_codes_come_back():
+    x = curve_search.unit(np.random.default_rng(16).normal(size=(50, 24)))
+    assert np.abs(curve_search.decoded(curve_search.coded(x), 24) - x).max() < 0.01

@@ -25,8 +25,12 @@ from .vectors import best, dimension, matrices
 
 #: Less than any score.
 NONE = -(1 << 62)
-#: Rows of a chunk, of a step within it, of a query block, and of the head of longest vectors.
+#: Rows of a chunk at least, of a step within it, of a query block, and of the head of longest vectors.
 CHUNK, STEP, QUERIES, HEAD = 8192, 1024, 1024, 2048
+#: Chunks at most, but for the last of each partition: the directory, 16 bytes each, goes to all tasks.
+CHUNKS = 1 << 20
+#: Tasks that sum Gram matrices, so that the driver gets a bounded number of these.
+SUMS = 16
 
 
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -102,6 +106,7 @@ def search(vectors: DataFrame, queries: str = "vec_id % 50 = 0", k: int = 5, sca
             f = x.astype(np.float64)
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(-(f * f).sum(axis=1)), pa.array([v.tobytes() for v in x], pa.binary())], names=["vec_id", "order", "v"])
 
+    chunk_rows = max(CHUNK, -(-source.count() // CHUNKS))
     rows = source.mapInArrow(parse, "vec_id long, order double, v binary").distinct()
     rows = rows.repartitionByRange(n, "order", "vec_id").sortWithinPartitions("order", "vec_id")
 
@@ -118,7 +123,7 @@ def search(vectors: DataFrame, queries: str = "vec_id % 50 = 0", k: int = 5, sca
                 s = b.slice(i, STEP)
                 held.append((s.column(0).to_numpy(), np.frombuffer(b"".join(s.column(2).to_pylist()), dtype=np.int64).reshape(-1, d)))
                 size += s.num_rows
-                if size >= CHUNK:
+                if size >= chunk_rows:
                     yield cut()
                     held, size, made = [], 0, made + 1
         if size:
@@ -133,7 +138,7 @@ def search(vectors: DataFrame, queries: str = "vec_id % 50 = 0", k: int = 5, sca
                 total += np.frombuffer(g)
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["gram"])
 
-    gram = sum((np.frombuffer(r.gram) for r in table.select("gram").mapInArrow(add, "gram binary").collect()), np.zeros(d * d)).reshape(d, d)
+    gram = sum((np.frombuffer(r.gram) for r in table.select("gram").mapInArrow(add, "gram binary").repartition(SUMS).mapInArrow(add, "gram binary").collect()), np.zeros(d * d)).reshape(d, d)
     directory = sorted((r.chunk, r.most) for r in table.select("chunk", "most").collect())
     if not directory:
         return spark.createDataFrame([], empty)
@@ -141,19 +146,24 @@ def search(vectors: DataFrame, queries: str = "vec_id % 50 = 0", k: int = 5, sca
     turn = np.ascontiguousarray(turn[:, ::-1])
     share = np.cumsum(weight[::-1]) / max(weight.sum(), 1e-300)
     lead = min(d, max(4, int(np.searchsorted(share, 0.8)) + 1))
-    hid, head = [], []
-    for c, _ in directory:
-        a, x = unpack(table.where(F.col("chunk") == c).select("payload").head().payload, np.int64, np.int64)
-        hid.append(a)
-        head.append(x.reshape(-1, d))
-        if sum(map(len, hid)) >= HEAD:
-            break
+
+    def longest(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in rows:
+            for c, payload in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                ids, x = unpack(payload, np.int64, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([c], pa.int64()), pa.array([pack(ids[:HEAD], x[: HEAD * d])], pa.binary())], names=["chunk", "payload"])
+
+    first = [c for c, _ in directory[: 1 + HEAD // STEP]]  # one may be the short last one of its partition
+    tops = table.where(F.col("chunk").isin(first)).select("chunk", "payload").mapInArrow(longest, "chunk long, payload binary").collect()
+    hid, head = zip(*(unpack(r.payload, np.int64, np.int64) for r in sorted(tops, key=lambda r: r.chunk)), strict=True)
+    head = [x.reshape(-1, d) for x in head]
     hid, head = np.concatenate(hid)[:HEAD], np.concatenate(head)[:HEAD]
-    state = spark.sparkContext.broadcast((hid, head, turn, directory))
+    # chunks come by descending length, so those that a query needs are the first ones
+    lengths = np.sqrt(np.maximum.accumulate(np.array([m for _, m in directory])[::-1])[::-1])
+    state = spark.sparkContext.broadcast((hid, head, turn, np.array([c for c, _ in directory]), lengths))
 
     def ask(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hid, head, _, directory = state.value
-        most = np.sqrt(np.array([m for _, m in directory]))
+        hid, head, _, chunk_ids, lengths = state.value
         for ids, x in matrices(rows, d):
             for i in range(0, len(ids), QUERIES):
                 qid, q = ids[i : i + QUERIES], np.floor(x[i : i + QUERIES] * scale).astype(np.int64)
@@ -163,13 +173,15 @@ def search(vectors: DataFrame, queries: str = "vec_id % 50 = 0", k: int = 5, sca
                 if len(hid) > k:
                     least = np.take_along_axis(score, best(score, k), 1).min(axis=1)
                 length = np.sqrt((q.astype(np.float64) ** 2).sum(axis=1))
-                for (chunk, _), m in zip(directory, most, strict=True):
-                    live = length * m * (1 + 1e-9) + 1e-9 >= least
-                    if live.any():
-                        yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([1], pa.int32()), pa.array([pack(qid[live], q[live].ravel(), least[live])], pa.binary())], names=["chunk", "kind", "payload"])
+                # the shortest chunk that a query needs, by lengths that grow from the last chunk to the first
+                need = len(lengths) - np.searchsorted(lengths[::-1], (least - 1e-9) / np.maximum(length * (1 + 1e-9), 1e-300), "left")
+                need = np.where(least <= 0, len(lengths), need)
+                for c in range(int(need.max(initial=0))):
+                    live = need > c
+                    yield pa.RecordBatch.from_arrays([pa.array([chunk_ids[c]], pa.int64()), pa.array([1], pa.int32()), pa.array([pack(qid[live], q[live].ravel(), least[live])], pa.binary())], names=["chunk", "kind", "payload"])
 
     def meet(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, _, turn, _ = state.value
+        _, _, turn, _, _ = state.value
         now, cid, c = None, None, None
         for b in rows:
             for chunk, kind, payload in zip(*(x.to_pylist() for x in b.columns), strict=True):

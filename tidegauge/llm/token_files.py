@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import store
-from .common import LAST_ID, n_parts, pieces, prepare, shared_dir, text_arrays, texts
+from .common import LAST_ID, n_shards, pieces, prepare, shared_dir, text_arrays, texts
 from .tokens import encoder
 
 
@@ -63,7 +63,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None = Non
 
     rows = texts(docs).select(F.coalesce("doc_id", F.lit(LAST_ID)).alias("doc_id"), "text")
     order = [F.col("doc_id"), F.xxhash64("text")]
-    counts = rows.repartitionByRange(n_parts(spark), *order).sortWithinPartitions(*order).mapInArrow(put, "part int, docs long, tokens long").collect()
+    counts = rows.repartitionByRange(n_shards(rows), *order).sortWithinPartitions(*order).mapInArrow(put, "part int, docs long, tokens long").collect()
     counts = sorted((r.part, r.docs, r.tokens) for r in counts)
     base, parts = 0, []
     for part, n, tokens in counts:
