@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tidegauge.errors import ParseError, ValidationError
 from tidegauge.operators import advice
 from tidegauge.sources import json_points, line_protocol
+from tidegauge.sources.store import PointStore, StoreConfig
 from tidegauge.streaming import windows
 
 
@@ -60,9 +61,11 @@ def test_batches():
 
 
 def test_advice():
-    assert [advice.batch_size(x, 2000) for x in (5, 20, 70, 200, 900)] == [25, 100, 300, 1000, 5000]
-    assert advice.batch_size(900, 20_000) == 7500 and advice.batch_size(20, 500) == 80
-    assert advice.partition_interval(1, 1, 20, 5) == "1h" and advice.partition_interval(0.1, 200, 0, 365) == "1M"
+    assert advice.batch_size(100, 2000) == 200 and advice.batch_size(0, 5) == 1
+    assert advice.batch_size(10_000, 1e9) == advice.BATCH_BYTES // advice.POINT_BYTES
+    assert advice.partition_interval(0.1, 200, 365) == "1M" and advice.partition_interval(1000, 24, 30) == "1h"
+    assert advice.partition_interval(20, 24, 90) == "1d" and advice.partition_interval(0.1, 200, 5) == "1d"
+    assert advice.partition_interval(1000, 24, 30, executors=50) == "1d"
     assert advice.partition_count(31, "1M") == 2
     assert advice.speedup(0.5) == 2 and advice.speedup(0.5, 2) == pytest.approx(4 / 3)
 
@@ -145,3 +148,91 @@ def test_line_source(spark, tmp_path):
     assert df.where("error is null").count() == 3 and df.where("error is not null").count() == 1
     assert df.agg(F.sum(F.col("numbers")["v"])).collect()[0][0] == 3.0
     assert df.where("measurement = 'n'").select(F.col("texts")["b"]).collect()[0][0] == "true"
+
+
+def test_buffer_writes_by_size_and_age(spark, tmp_path):
+    from tidegauge.sources.store import WriteBuffer
+
+    now = [0.0]
+    store = PointStore(spark, StoreConfig(f"file://{tmp_path}/s"))
+    buffer = WriteBuffer(store, most=3, seconds=5, clock=lambda: now[0])
+    point = lambda i: {"measurement": "m", "timestamp": i, "tags": {}, "fields": {"v": i}}
+    assert not buffer.add(point(1), point(2)) and buffer.add(point(3)) and len(buffer) == 0
+    assert not buffer.add(point(4))
+    now[0] = 6.0
+    assert buffer.flush_if_due() and not buffer.flush_if_due() and store.points().count() == 4
+
+
+def test_retries_wait_longer(spark, tmp_path, monkeypatch):
+    store = PointStore(spark, StoreConfig(f"file://{tmp_path}/s"))
+    waits, calls = [], []
+
+    def write_batch(points, atomic, now):
+        calls.append(1)
+        if len(calls) < 4:
+            raise OSError("away")
+        return "success", 1, 0
+
+    monkeypatch.setattr(store, "write_batch", write_batch)
+    assert store.write_with_retry(None, 3, waits.append) == ("success", 1, 0) and waits == [2, 4, 8]
+    calls.clear()
+    with pytest.raises(OSError):
+        store.write_with_retry(None, 2, waits.append)
+
+
+def test_a_broken_compaction_is_ended(spark, tmp_path, monkeypatch):
+    from tidegauge.sources.store import from_rows
+
+    store = PointStore(spark, StoreConfig(f"file://{tmp_path}/s"))
+    store.write(from_rows(spark, [{"measurement": "m", "timestamp": i, "fields": {"v": i}} for i in range(20)]))
+    with monkeypatch.context() as m:
+        m.setattr(PointStore, "_put_in_place", lambda self, at: (_ for _ in ()).throw(OSError("broke off")))
+        with pytest.raises(OSError):
+            store.compact("m", "19700101")
+    import shutil
+
+    shutil.rmtree(tmp_path / "s/points/measurement=m/part=19700101")  # it broke off between deleting and moving
+    assert store.recover() == 1 and store.points().count() == 20 and store.recover() == 0
+
+
+def test_workload_reports(spark):
+    from tidegauge import workload
+
+    seen = []
+    assert set(workload.write_sweep(list(range(10)), (1, 5), seen.append)) == {1, 5} and [len(x) for x in seen] == [1] * 10 + [5, 5]
+    report = workload.concurrent_writes(lambda w, n: 1 / (w + n), 3, 4)
+    assert report["writes"] == 11 and report["failures"] == 1
+    assert {r.query: r.rows_agree for r in workload.suite(workload.points(spark, 200), "host", 1).collect()} == dict.fromkeys(("point", "range", "aggregation", "group_by"), True)
+    assert workload.markdown(spark.createDataFrame([(1, "a|b"), (2, None)], "n int, s string")) == "| n | s |\n| --- | --- |\n| 1 | a\\|b |\n| 2 |  |"
+
+
+def test_packed_series_refuse_what_they_cannot_hold(spark):
+    from tidegauge.errors import ParseError
+    from tidegauge.operators import codecs
+
+    with pytest.raises(ValidationError):
+        codecs.pack_series(spark.range(1).selectExpr("1.5D v", "id"), "v", ("id",))
+    for raw in (b"\x80", b"\x80" * 11 + b"\x01"):
+        with pytest.raises(ParseError):
+            codecs._unvarints(raw)
+
+
+def test_plain_lines_stay_out_of_python(spark):
+    """Every line means the same, whichever way it is parsed."""
+    import json
+    import re
+
+    from tidegauge.errors import ParseError
+    from tidegauge.sources import line_protocol
+
+    lines = ["cpu,host=a v=1,w=2i,s=\"x\",b=t 1700000000", "cpu v=1.50 1700000000000", "cpu v=1.5,v=2", "cpu,h=a,h=b v=1i", " cpu  v=3", "cpu,h=a\\ b v=\"a b\"", "bad", "cpu v=T,w=false,x=TRUE", "cpu v=-0.25,w=-7i", "cpu v=1e5", "cpu v=0.1 9999999999999", "cpu v=\"\" 1700000000", "cpu v=00", "cpu,h= v=1", "1x v=99999999999999999999i"]
+    rows = {r.line: r for r in line_protocol.read(spark.createDataFrame([(x,) for x in lines], "value string"), now=1.8e9).selectExpr("*", "to_json(fields) f").collect()}
+    for x in lines:
+        r = rows[x]
+        try:
+            want = line_protocol.parse_line(x, 1.8e9)
+        except ParseError as e:
+            assert r.error == str(e)
+        else:
+            assert (r.measurement, r.timestamp, r.tags, json.loads(r.f)) == (want["measurement"], want["timestamp"], want["tags"], want["fields"])
+    assert sum(bool(re.search(line_protocol.PLAIN, x)) for x in lines) >= 6

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from collections import Counter
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -11,36 +10,40 @@ from pyspark.sql import functions as F
 
 from ..errors import ValidationError
 
-# Batch size by the upper bound of a latency class in ms, and its factor by throughput above a bound.
-BATCH_BY_LATENCY = ((10, 25), (50, 100), (100, 300), (500, 1000), (math.inf, 5000))
-FACTOR_ABOVE = ((10_000, 1.5), (5_000, 1.2), (999, 1.0), (-math.inf, 0.8))
+#: What a point, a batch and a Parquet file take, about.
 POINT_BYTES, BATCH_BYTES, FILE_BYTES = 100, 10 << 20, 256 << 20
+HOURS = {"1h": 1, "1d": 24, "1M": 720}
 
 
-def batch_size(latency_ms: float, points_per_s: float) -> int:
-    base = next(size for most, size in BATCH_BY_LATENCY if latency_ms < most)
-    factor = next(f for above, f in FACTOR_ABOVE if points_per_s > above)
-    return min(int(base * factor), BATCH_BYTES // POINT_BYTES)
+def batch_size(latency_ms: float, points_per_s: float, most_bytes: int = BATCH_BYTES) -> int:
+    """Points that arrive while a write takes ``latency_ms``: smaller batches queue up, larger ones only wait. One at least, a batch's bytes at most."""
+    if latency_ms < 0 or points_per_s < 0:
+        raise ValidationError("latency and rate aren't negative")
+    return max(1, min(math.ceil(points_per_s * latency_ms / 1000), most_bytes // POINT_BYTES))
 
 
 def partition_count(days: int, interval: str) -> int:
-    if interval not in ("1h", "1d", "1M"):
+    if interval not in HOURS:
         raise ValidationError(f"not a partition interval: {interval!r}")
-    return {"1h": days * 24, "1d": days, "1M": math.ceil(days / 30)}[interval]
-
-
-def partition_interval(points_per_s: float, query_hours: float = 24, queries_per_s: float = 0, retention_days: float = 30) -> str:
-    """Most votes of write rate, query range, query rate and retention; the first cast of equal ones."""
-    if points_per_s <= 0:
-        return "1d"
-    hourly = points_per_s * 3600 * POINT_BYTES
-    votes = [
-        "1M" if hourly <= FILE_BYTES / 720 else "1d" if hourly * 24 <= FILE_BYTES else "1h",
-        "1h" if query_hours <= 1 else "1d" if query_hours <= 24 else "1M",
-        "1h" if queries_per_s >= 10 else "1d" if queries_per_s >= 1 else "1M",
-        "1h" if retention_days <= 7 else "1d" if retention_days <= 90 else "1M",
-    ]
-    return Counter(votes).most_common(1)[0][0]
+    return math.ceil(days * 24 / HOURS[interval])
+
+
+def partition_interval(points_per_s: float, query_hours: float = 24, retention_days: float = 30, file_bytes: int = FILE_BYTES, executors: int = 1) -> str:
+    """The longest interval whose partition is wanted whole.
+
+    That is one of at most a file for each executor, so that a partition is
+    read in one round; of no more than what a query asks for, unless its
+    partition would be less than a file; and within the retention, as a
+    partition goes only when all of it is old.
+    """
+    if points_per_s < 0:
+        raise ValidationError("a rate isn't negative")
+
+    def size(interval: str) -> float:
+        return points_per_s * HOURS[interval] * 3600 * POINT_BYTES
+
+    fit = [i for i, hours in HOURS.items() if size(i) <= file_bytes * executors and hours <= 24 * retention_days and (hours <= query_hours or size(i) < file_bytes)]
+    return fit[-1] if fit else "1h"
 
 
 def shares(timings: DataFrame, name: str = "operation", time: str = "total_time") -> DataFrame:

@@ -68,6 +68,13 @@ def _md5(body: list) -> str:
     return hashlib.md5(json.dumps(body, sort_keys=True).encode()).hexdigest()
 
 
-def checksum(*columns: Column) -> Column:
-    """MD5 of the columns' texts joined by "|"."""
-    return F.md5(F.concat_ws("|", *[c.cast("string") for c in columns]))
+def checksum(*columns: Column, sha256: bool = False) -> Column:
+    """MD5, or SHA-256 as write-ahead logs have, of the columns' texts joined by "|"."""
+    text = F.concat_ws("|", *[c.cast("string") for c in columns])
+    return F.sha2(text, 256) if sha256 else F.md5(text)
+
+
+def typed_point(p: dict) -> dict:
+    """A checked point as one object, with typed fields."""
+    p = check_point(p)
+    return {"measurement": p["measurement"], "timestamp": p["timestamp"], "tags": p.get("tags", {}), "fields": typed_fields(p["fields"])}

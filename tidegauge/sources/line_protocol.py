@@ -1,7 +1,8 @@
 """Line protocol: name[,tag=value...] field=value[,...] [time].
 
-Lines are parsed in Arrow batches by one function; a line that isn't valid
-becomes a row with ``error`` set, and never stops the others.
+Plain lines are parsed by columns, lines with escapes or quoted marks in Arrow
+batches by one function; a line that isn't valid becomes a row with ``error``
+set, and never stops the others.
 """
 
 from __future__ import annotations
@@ -116,29 +117,66 @@ def parse_line(line: str, now: float | None = None) -> dict:
     return {"measurement": check_name(unescape(name)), "tags": tags, "fields": fields, "timestamp": parse_time(parts[2], now) if len(parts) == 3 else None}
 
 
+_WORD = r"[A-Za-z0-9-][A-Za-z0-9_-]*"
+_WHOLE = r"-?(?:0|[1-9]\d{0,14})"
+_PLAIN_VALUE = rf'(?:{_WHOLE}i|{_WHOLE}(?:\.(?:0|\d{{0,5}}[1-9]))?|"[^"\\,= ]*"|[tTfF]|[tT][rR][uU][eE]|[fF][aA][lL][sS][eE])'
+#: Lines that columns can parse: one space between sections, nothing escaped, no mark within quotes, and numbers as JSON has them.
+PLAIN = rf'^{_WORD}(?:,{_WORD}=[^,= "\\\s]+)* {_WORD}={_PLAIN_VALUE}(?:,{_WORD}={_PLAIN_VALUE})*(?: (?:\d{{10}}|\d{{13}}|\d{{16}}|\d{{19}}))?$'
+
+
+def _plain_parts(line: Column) -> tuple[Column, Column, Column, Column]:
+    """Measurement, (key, value) pairs of tags and of fields, and the time's digits, of a plain line."""
+    part = F.split(line, " ")
+    head = F.split(part[0], ",")
+
+    def pairs(items: Column) -> Column:
+        return F.transform(items, lambda p: F.struct(F.substring_index(p, "=", 1).alias("key"), F.regexp_replace(p, "^[^=]*=", "").alias("value")))
+
+    return head[0], pairs(F.slice(head, F.lit(2), F.greatest(F.size(head) - 1, F.lit(0)))), pairs(F.split(part[1], ",")), F.try_element_at(part, F.lit(3))
+
+
+def _json_value(v: Column) -> Column:
+    """A plain field value as JSON: truth by its first letter, integers without their mark, whole floats with a fraction."""
+    first = F.lower(F.substring(v, 1, 1))
+    return F.when(first == "t", F.lit("true")).when(first == "f", F.lit("false")).when(v.endswith("i"), F.regexp_replace(v, "i$", "")).when((first == '"') | v.contains("."), v).otherwise(F.concat(v, F.lit(".0")))
+
+
 def read(lines: DataFrame, column: str = "value", now: float | None = None) -> DataFrame:
     """(measurement, timestamp, tags, fields, line, error) of a DataFrame of lines; blank lines and comments give nothing.
 
-    Valid rows have a null ``error``; filter on it for the rejects.
+    Valid rows have a null ``error``; filter on it for the rejects. Plain lines
+    are parsed by columns; Python sees the others only.
     """
-
     findable(lines.sparkSession)
+    line = lines.select(F.col(column).alias("line"))
+    name, tags, fields, digits = _plain_parts(F.col("line"))
+    unit = F.create_map(*[F.lit(x) for k, v in UNITS.items() for x in (k, float(v))])
+    seconds = digits.cast("double") / unit[F.length(digits)]
+    # each part is taken apart once a line, and not at all of lines that aren't plain
+    cut = line.withColumn("plain", F.coalesce(F.col("line").rlike(PLAIN), F.lit(False)))
+    cut = cut.withColumn("cut", F.when(F.col("plain"), F.struct(name.alias("name"), tags.alias("tags"), fields.alias("fields"), seconds.alias("at"))))
+    soon = F.lit(True) if now is None else F.coalesce(F.col("cut.at") <= now + AHEAD, F.lit(True))
+    once = (F.size(F.array_distinct("cut.tags.key")) == F.size("cut.tags")) & (F.size(F.array_distinct("cut.fields.key")) == F.size("cut.fields"))
+    easy = F.coalesce(F.col("plain") & once & soon, F.lit(False))
+    text = F.concat(F.lit("{"), F.array_join(F.transform("cut.fields", lambda e: F.concat(F.lit('"'), e["key"], F.lit('":'), _json_value(e["value"]))), ","), F.lit("}"))
+    parsed = cut.where(easy).select(F.col("cut.name").alias("measurement"), F.col("cut.at").alias("timestamp"), F.map_from_entries("cut.tags").alias("tags"), text.alias("fields"), "line", F.lit(None).cast("string").alias("error"))
 
     def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
-            for line in frame["line"]:
-                if line is None or not line.strip() or line.lstrip().startswith("#"):
+            for one in frame["line"]:
+                if one is None or not one.strip() or one.lstrip().startswith("#"):
                     continue
                 try:
-                    p = parse_line(line, now)
-                    out.append((p["measurement"], p["timestamp"], p["tags"], json.dumps(p["fields"]), line, None))
+                    p = parse_line(one, now)
+                    out.append((p["measurement"], p["timestamp"], p["tags"], json.dumps(p["fields"]), one, None))
                 except ParseError as e:
-                    out.append((None, None, None, None, line, str(e)))
+                    out.append((None, None, None, None, one, str(e)))
             yield pd.DataFrame(out, columns=["measurement", "timestamp", "tags", "fields", "line", "error"])
 
     schema = "measurement string, timestamp double, tags map<string,string>, fields string, line string, error string"
-    return lines.select(F.col(column).alias("line")).mapInPandas(parse, schema).withColumn("fields", F.try_parse_json("fields"))
+    hard = cut.where(~easy).select("line").mapInPandas(parse, schema)
+    return parsed.unionByName(hard).withColumn("fields", F.try_parse_json("fields"))
 
 
 def read_files(spark: SparkSession, path: str, now: float | None = None) -> DataFrame:

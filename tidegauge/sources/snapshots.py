@@ -51,6 +51,26 @@ class Snapshots:
         log = f"{self.path}/{name}/log{at}"
         return out.unionByName(self.spark.read.parquet(log)).distinct() if version is None and self._done(log) else out
 
+    def backup(self, to: str) -> None:
+        """Copies all tables, versions and logs to another folder, which must not exist yet."""
+        self._copy(self.path, to)
+
+    def restore(self, source: str) -> None:
+        """The tables become those of a backup; the ones that are there go once its copy is whole."""
+        fresh = self.path.rstrip("/") + "-restoring"
+        files, p = self._fs(fresh)
+        files.delete(p, True)
+        self._copy(source, fresh)
+        _, old = self._fs(self.path)
+        files.delete(old, True)
+        files.rename(p, old)
+
+    def _copy(self, source: str, to: str) -> None:
+        (a, here), (b, there) = self._fs(source), self._fs(to)
+        if b.exists(there):
+            raise FileExistsError(to)
+        self._jvm.org.apache.hadoop.fs.FileUtil.copy(a, here, b, there, False, True, self.spark._jsc.hadoopConfiguration())
+
     def compact(self, name: str) -> int:
         """Saves version and log as a new version and deletes what came before."""
         old = self._versions(name)

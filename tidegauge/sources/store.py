@@ -6,6 +6,9 @@ its own. The catalog is read from the data.
 
 from __future__ import annotations
 
+import threading
+import time
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -25,6 +28,8 @@ class StoreConfig:
     path: str
     interval: str = "1d"
     retention_days: int = 30
+    #: Tasks, and so files, that a write gives one partition.
+    tasks: int = 4
 
     def __post_init__(self):
         if not self.path:
@@ -64,7 +69,7 @@ class PointStore:
             return bad
         good = p.where("reason is null").drop("reason")
         good = good.withColumn("part", partition_key(F.timestamp_micros((F.col("timestamp") * 1e6).cast("long")), self.config.interval))
-        good.repartition("measurement", "part", F.pmod(F.xxhash64("timestamp"), F.lit(4))).write.mode("append").partitionBy("measurement", "part").parquet(self._points)
+        good.repartition("measurement", "part", F.pmod(F.xxhash64("timestamp"), F.lit(self.config.tasks))).write.mode("append").partitionBy("measurement", "part").parquet(self._points)
         return bad
 
     def write_batch(self, points: DataFrame, atomic: bool = True, now: float | None = None) -> tuple[str, int, int]:
@@ -79,9 +84,13 @@ class PointStore:
     def _points(self) -> str:
         return f"{self.config.path}/points"
 
-    def _exists(self, path: str) -> bool:
+    def _file(self, path: str):
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
+        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
+
+    def _exists(self, path: str) -> bool:
+        files, p = self._file(path)
+        return files.exists(p)
 
     def points(self) -> DataFrame:
         schema = self.spark.createDataFrame([], STORED).schema
@@ -121,12 +130,70 @@ class PointStore:
             p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
         return len(gone)
 
+    def write_with_retry(self, points: DataFrame, retries: int = 3, wait: Callable[[float], object] = time.sleep, now: float | None = None) -> tuple[str, int, int]:
+        """write_batch() that is tried again after 2, 4, 8, ... seconds if it fails.
+
+        A write appears as a whole or not at all, so trying again doubles
+        nothing; invalid points are no failure and are not tried again.
+        """
+        for n in range(retries + 1):
+            try:
+                return self.write_batch(points, atomic=False, now=now)
+            except Exception:
+                if n == retries:
+                    raise
+                wait(2.0 ** (n + 1))
+
     def compact(self, name: str, part: str, files: int = 1) -> None:
-        """Rewrites one partition as fewer files: the new ones are written whole before the old ones go."""
-        fresh = f"{self.config.path}/compacting/{safe_name(name)}-{part}"
-        where = f"{self._points}/measurement={safe_name(name)}/part={part}"
-        self.spark.read.parquet(where).sort("timestamp").coalesce(files).write.mode("overwrite").parquet(fresh)
-        self.spark.read.parquet(fresh).coalesce(files).write.mode("overwrite").parquet(where)
+        """Rewrites one partition as fewer files: the new ones are whole before the old ones go.
+
+        If it breaks off after that, recover() puts the new ones in place.
+        """
+        self.recover()
+        at = f"measurement={safe_name(name)}/part={part}"
+        self.spark.read.parquet(f"{self._points}/{at}").sort("timestamp").coalesce(files).write.mode("overwrite").parquet(f"{self._compacting}/{at}")
+        self._put_in_place(at)
+
+    @property
+    def _compacting(self) -> str:
+        return f"{self.config.path}/compacting"
+
+    def _put_in_place(self, at: str) -> None:
+        files, fresh = self._file(f"{self._compacting}/{at}")
+        _, old = self._file(f"{self._points}/{at}")
+        files.delete(old, True)
+        files.mkdirs(old.getParent())
+        if not files.rename(fresh, old):
+            raise OSError(f"couldn't move {fresh} to {old}")
+
+    def recover(self) -> int:
+        """Ends compactions that broke off: whole rewrites replace their partitions, others go. Returns how many replaced theirs."""
+        files, top = self._file(self._compacting)
+        done = 0
+        for name in files.listStatus(top) if files.exists(top) else []:
+            for part in files.listStatus(name.getPath()):
+                at = f"{name.getPath().getName()}/{part.getPath().getName()}"
+                if self._exists(f"{self._compacting}/{at}/_SUCCESS"):
+                    self._put_in_place(at)
+                    done += 1
+                else:
+                    files.delete(part.getPath(), True)
+        return done
+
+    def partitions(self, name: str, start: float | None = None, end: float | None = None) -> DataFrame:
+        """(part): stored partitions of a measurement that reach into [start, end] Unix seconds, in order; only folder names are filtered."""
+        found = self.relation(name).df
+        for bound, low in ((start, True), (end, False)):
+            if bound is not None:
+                key = partition_key(F.timestamp_micros(F.lit(int(bound * 1e6))), self.config.interval)
+                found = found.where(F.col("part") >= key if low else F.col("part") <= key)
+        return found.select("part").distinct().orderBy("part")
+
+    def partition_info(self, name: str) -> DataFrame:
+        """(part, oldest, newest, points, files, bytes, modified) of each stored partition."""
+        m = F.col("_metadata")
+        each = self.relation(name).df.groupBy("part", m["file_path"].alias("path"), m["file_size"].alias("bytes"), m["file_modification_time"].alias("modified")).agg(F.min("timestamp").alias("oldest"), F.max("timestamp").alias("newest"), F.count(F.lit(1)).alias("points"))
+        return each.groupBy("part").agg(F.min("oldest").alias("oldest"), F.max("newest").alias("newest"), F.sum("points").alias("points"), F.count(F.lit(1)).alias("files"), F.sum("bytes").alias("bytes"), F.max("modified").alias("modified")).orderBy("part")
 
     def health(self) -> dict[str, bool]:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(self.config.path)
@@ -141,6 +208,43 @@ class PointStore:
         return {"running": self.spark._jsc is not None, "writable": writable, "healthy": writable}
 
 
+class WriteBuffer:
+    """Points gathered on the driver until there are ``most`` of them or the first is ``seconds`` old; then they are written together.
+
+    A write that fails keeps its points. Threads may share a buffer; the clock
+    is looked at as points come, and by flush_if_due().
+    """
+
+    def __init__(self, store: PointStore, most: int = 1000, seconds: float = 10.0, clock: Callable[[], float] = time.monotonic):
+        self.store, self.most, self.seconds, self.clock = store, most, seconds, clock
+        self._lock, self._rows, self._since = threading.RLock(), [], None
+
+    def __len__(self) -> int:
+        return len(self._rows)
+
+    def add(self, *points: dict) -> bool:
+        """Whether this wrote the buffer."""
+        with self._lock:
+            if points and self._since is None:
+                self._since = self.clock()
+            self._rows += points
+            return self.flush_if_due()
+
+    def flush_if_due(self) -> bool:
+        with self._lock:
+            due = len(self._rows) >= self.most or self._since is not None and self.clock() - self._since >= self.seconds
+            return due and self.flush() > 0
+
+    def flush(self) -> int:
+        """Writes what there is; returns how many points were valid."""
+        with self._lock:
+            if not self._rows:
+                return 0
+            _, written, _ = self.store.write_batch(from_rows(self.store.spark, self._rows), atomic=False)
+            self._rows, self._since = [], None
+            return written
+
+
 def from_rows(spark: SparkSession, rows: list[dict]) -> DataFrame:
     """Points given as dicts on the driver."""
     import json
