@@ -36,6 +36,35 @@ def test_answers():
     assert wire.table([]) == "(no results)" and wire.table([{"a": 1, "value": 2}]).splitlines()[0] == "a  value"
 
 
+def test_values_with_marks_come_back(spark, tmp_path):
+    with Database(spark, f"file://{tmp_path}/db") as db, Server(db) as server:
+        c = Client(*server.address)
+        odd = "a b=c,d\\e\nf"
+        c.write("cpu", {"host": odd}, {"v": 1}, 1.0)
+        assert c.query("SELECT sum(v) FROM cpu GROUP BY host") == [{"host": odd, "value": 1.0}]
+        c.close()
+
+
+def test_command(spark, tmp_path, capsys):
+    import threading
+
+    from tidegauge.server.__main__ import main
+
+    stop = threading.Event()
+    stop.set()
+    main([f"file://{tmp_path}/db", "--port", "0"], stop, spark)
+    assert "listening on 127.0.0.1:" in capsys.readouterr().out
+
+
+def test_metrics_are_bounded():
+    from tidegauge.server.service import Metrics
+
+    m = Metrics(keep=3)
+    for i in range(10):
+        m.record("PING", float(i))
+    assert [x for x, _ in m._seen["PING"]] == [7.0, 8.0, 9.0]
+
+
 def test_loopback(spark, tmp_path):
     with Database(spark, f"file://{tmp_path}/db") as db, Server(db) as server:
         c = Client(*server.address)

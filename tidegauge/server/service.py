@@ -6,7 +6,7 @@ import socket
 import socketserver
 import threading
 import time
-from collections import defaultdict
+from collections import defaultdict, deque
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
@@ -15,11 +15,11 @@ from . import wire
 
 
 class Metrics:
-    """Latencies and errors by operation, with a clock that can be given. ``frame`` makes them a DataFrame."""
+    """The last ``keep`` latencies and errors of each operation, with a clock that can be given. ``frame`` makes them a DataFrame."""
 
-    def __init__(self, clock: Callable[[], float] = time.perf_counter):
+    def __init__(self, clock: Callable[[], float] = time.perf_counter, keep: int = 10_000):
         self.clock, self._lock = clock, threading.Lock()
-        self._seen: dict[str, list[tuple[float, bool]]] = defaultdict(list)
+        self._seen: dict[str, deque[tuple[float, bool]]] = defaultdict(lambda: deque(maxlen=keep))
 
     def record(self, operation: str, latency: float, error: bool = False) -> None:
         with self._lock:
@@ -50,7 +50,8 @@ class Server:
                 while data := self.request.recv(65536):
                     for payload in frames.feed(data):
                         line = payload.decode("utf-8", "replace")
-                        with metrics.measure((line.split() + ["", ""])[1].upper() or "NONE"):
+                        asked = (line.split() + ["", ""])[1].upper()
+                        with metrics.measure(asked if asked in wire.COMMANDS else "NONE"):
                             out = wire.answer(line, lambda p: database.write(**p), database.query)
                         self.request.sendall(wire.frame(out.text().encode()))
 
@@ -87,12 +88,12 @@ class Client:
 
     def write(self, measurement: str, tags: dict[str, str], fields: dict, timestamp: float | None = None) -> None:
         def pairs(d):
-            return ",".join(f"{k}={v}" for k, v in d.items()) or "-"
+            return ",".join(f"{wire.escape(str(k))}={wire.escape(str(v))}" for k, v in d.items()) or "-"
 
         self._ask("WRITE", " ".join([measurement, pairs(tags), pairs(fields), *([repr(timestamp)] if timestamp is not None else [])]))
 
     def query(self, sql: str) -> list[dict]:
-        rows = [dict(p.partition("=")[::2] for p in line.split(" ")) for line in self._ask("QUERY", sql).body]
+        rows = [{wire.unescape(k): wire.unescape(v) for k, _, v in (p.partition("=") for p in line.split(" "))} for line in self._ask("QUERY", sql).body]
         return [{k: (None if v == "None" else float(v)) if k == "value" else v for k, v in r.items()} for r in rows]
 
     def close(self) -> None:

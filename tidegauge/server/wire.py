@@ -7,10 +7,12 @@ line and body lines.
 
 from __future__ import annotations
 
+import re
 import struct
 from dataclasses import dataclass
 
 from ..errors import EngineError, ParseError, QueryError, ValidationError
+from ..plans.dialect import lexemes
 
 # Fixed values of the wire format.
 VERSION = "TSDB/1"
@@ -83,8 +85,22 @@ def parse_response(text: str) -> Response:
     return Response(parts[1] == "OK", int(parts[2]) if len(parts) > 2 else 0, tuple(body))
 
 
+# A backslash and a letter stand for a character that would end a value.
+_STANDS = {"\\": "\\\\", " ": "\\s", ",": "\\c", "=": "\\e", "\n": "\\n", "\r": "\\r", "\t": "\\t"}
+_MEANS = {v: k for k, v in _STANDS.items()}
+
+
+def escape(text: str) -> str:
+    """A key or value without spaces, commas, equals and line ends; text without these or backslashes stays as it is."""
+    return "".join(_STANDS.get(c, c) for c in text)
+
+
+def unescape(text: str) -> str:
+    return re.sub(r"\\.", lambda m: _MEANS.get(m[0], m[0]), text)
+
+
 def parse_write(arguments: str) -> dict:
-    """measurement tags fields [seconds]; tags may be "-" for none. Values are integers, else floats, else text."""
+    """measurement tags fields [seconds]; tags may be "-" for none. Values are integers, else floats, else text, unescaped."""
     parts = arguments.split()
     if not 3 <= len(parts) <= 4:
         raise ValidationError("WRITE has a measurement, tags, fields and perhaps a time")
@@ -95,7 +111,7 @@ def parse_write(arguments: str) -> dict:
         out = [p.partition("=") for p in text.split(",")]
         if any(not k or not eq for k, eq, _ in out):
             raise ValidationError(f"bad key=value in {text!r}")
-        return {k: v for k, _, v in out}
+        return {unescape(k): unescape(v) for k, _, v in out}
 
     def value(text: str):
         for kind in (int, float):
@@ -122,9 +138,10 @@ def answer(line: str, write, query) -> Response:
         if command == "WRITE":
             write(parse_write(arguments))
         elif command == "QUERY":
-            if not all(w in arguments.upper() for w in ("SELECT", "FROM")):
+            words = [w.value for w in lexemes(arguments) if w.kind == "keyword"]
+            if words[:1] != ["select"] or "from" not in words:
                 raise QueryError("a query has SELECT and FROM")
-            return Response(True, body=tuple(" ".join(f"{k}={v}" for k, v in row.items()) for row in query(arguments)))
+            return Response(True, body=tuple(" ".join(f"{escape(str(k))}={escape(str(v))}" for k, v in row.items()) for row in query(arguments)))
         return Response(True)
     except WireError as e:
         return Response(False, e.code, (str(e),))
