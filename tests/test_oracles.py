@@ -11,7 +11,7 @@ from .conftest import DATA
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
-    for t in ("events", "lineitem", "orders"):
+    for t in ("events", "lineitem", "orders", "part"):
         con.execute(f"create view {t} as select * from '{DATA}/{t}.parquet'")
     return con
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -28,6 +29,27 @@ def register_aggregate(name: str, build: Callable[[Column], Column]) -> None:
     AGGREGATES[name] = build
 
 
+def folded(make: Callable[[], object]) -> Callable[[Column], Column]:
+    """An aggregate of a Python fold, an object with update(value) and result(), over the numbers of a group.
+
+    For what built-in aggregates can't express; a group's numbers meet in one
+    task, in no order, so it isn't for groups of unbounded size.
+    """
+
+    def one(values) -> float | None:
+        fold = make()
+        for v in values:
+            fold.update(v)
+        return fold.result()
+
+    def run(groups):
+        return groups.map(one)
+
+    run.__annotations__ = {"groups": pd.Series, "return": pd.Series}
+    each = F.pandas_udf(run, "double")
+    return lambda c: each(F.collect_list(c))  # goes with built-in aggregates, as a grouped Python one doesn't
+
+
 def aggregate_field(rel: Relation, field: str, agg: str | Callable) -> DataFrame:
     """One row, ``value``: count is 0 and all others null if nothing is a number."""
     return rel.df.agg(aggregate(agg)(rel.number(field)).alias("value"))

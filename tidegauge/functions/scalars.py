@@ -60,6 +60,23 @@ def parse_series_key(key: str) -> tuple[str, dict[str, str]]:
     return parts[0][0], {k: v for k, v in parts[1:]}
 
 
+def series_parts(key: Column) -> Column:
+    """The inverse of series_key as a column: (measurement, tags). Escaped pairs stand aside, from the left, while the text is split."""
+    # private characters, which no key is expected to have
+    aside = (("\\\\", "\ue000", "\\"), ("\\,", "\ue001", ","), ("\\=", "\ue002", "="))
+    for pair, mark, _ in aside:
+        key = F.replace(key, F.lit(pair), F.lit(mark))
+
+    def back(c: Column) -> Column:
+        for _, mark, plain in aside:
+            c = F.replace(c, F.lit(mark), F.lit(plain))
+        return c
+
+    parts = F.split(key, ",")
+    pairs = F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), lambda p: F.struct(back(F.split_part(p, F.lit("="), F.lit(1))).alias("key"), back(F.split_part(p, F.lit("="), F.lit(2))).alias("value")))
+    return F.struct(back(F.element_at(parts, 1)).alias("measurement"), F.map_from_entries(pairs).alias("tags"))
+
+
 def _units(text: str) -> list[str]:
     """Characters, with an escaped one together with its backslash."""
     return re.findall(r"\\.|[^\\]|\\$", text, re.DOTALL)

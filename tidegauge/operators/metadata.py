@@ -6,14 +6,12 @@ import math
 from dataclasses import dataclass
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..errors import ValidationError
 from ..functions.scalars import bloom_positions
-from ..session import findable
 
 
 def postings(points: DataFrame, tags: dict[str, Column] | Column, location: Column) -> DataFrame:
@@ -81,8 +79,19 @@ def candidates(post: DataFrame, block: DataFrame, tags: dict[str, str], start=No
     return out.join(lookup(post, tags), "location", "left_semi") if tags else out
 
 
-def pruned(points: DataFrame, location: str, found: DataFrame) -> DataFrame:
-    """The points in the locations found."""
+def pruned(points: DataFrame, location: str, found: DataFrame, time: str | None = None) -> DataFrame:
+    """The points in the locations found.
+
+    With ``time``, blocks found by overlapping() also bound the column that
+    they are blocks of, so that the scan leaves out what no block reaches.
+    """
+    if time is not None:
+        kind = points.schema[time].dataType.simpleString()
+        at = found.agg(F.min("min_ts").alias("lo"), F.max("max_ts").alias("hi")).head()
+        if at.lo is None:
+            return points.limit(0)
+        points = points.where(F.col(time).between(F.lit(at.lo).cast(kind), F.lit(at.hi).cast(kind)))
+        found = found.select("location")
     return points.join(found.withColumnRenamed("location", location), location, "left_semi")
 
 
@@ -144,15 +153,15 @@ class BloomSize:
 
 def bloom_filters(post: DataFrame, size: BloomSize) -> DataFrame:
     """(location, bloom): a filter of "key=value" tokens per location, of fixed size, merged bit by bit map-side."""
-    findable(post.sparkSession)
-    bits, hashes = size.bits, size.hashes
+    digest = F.md5(F.concat_ws("=", "tag_key", "tag_value").cast("binary"))
 
-    @F.pandas_udf("array<int>")
-    def positions(token: pd.Series) -> pd.Series:
-        return token.map(lambda t: bloom_positions(t, bits, hashes))
+    def half(start: int) -> Column:
+        """Half of the digest, modulo the number of bits."""
+        return (F.conv(F.substring(digest, start, 16), 16, 10).cast("decimal(20,0)") % size.bits).cast("long")
 
-    at = post.select("location", F.explode(positions(F.concat_ws("=", "tag_key", "tag_value"))).alias("bit")).distinct()
-    words = at.groupBy("location", F.floor(F.col("bit") / 32).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, bit % 32)")).alias("v"))
+    bit = F.transform(F.sequence(F.lit(0), F.lit(size.hashes - 1)), lambda i: (half(1) + i * half(17)) % size.bits)
+    at = post.select("location", F.explode(bit).alias("bit")).distinct()
+    words = at.groupBy("location", F.floor(F.col("bit") / 32).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 32 as int))")).alias("v"))
     return words.groupBy("location").agg(F.map_from_entries(F.collect_list(F.struct("w", "v"))).alias("bloom"))
 
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..model import Relation, WideRelation
@@ -38,6 +39,11 @@ def read(rel: Relation, start=None, end=None, tags: dict | None = None, fields:
     return out.limit(limit) if limit is not None else out
 
 
+def stream(rel: Relation, condition: Column, start=None, end=None, *tie: str) -> Iterator[Row]:
+    """Rows of one location (any condition that picks it) in time order, a partition at a time on the driver."""
+    return read(rel, start, end, None, None, None, condition, None, *tie).toLocalIterator()
+
+
 def count(rel: Relation, **of) -> int:
     return read(rel, **of).count()
 

@@ -298,7 +298,7 @@ def time_blocks(s, d):
 def blocks_in_range(s, d):
     e = rel(s, d).df.withColumn("day", F.date_format("ts", "yyyyMMdd"))
     b = metadata.blocks(e, F.col("ts").cast("string"), F.col("day"))
-    return metadata.pruned(e, "day", metadata.overlapping(b, "2024-01-09 06:00:00", "2024-01-10 12:00:00").select("location")).select("event_id")
+    return metadata.pruned(e, "day", metadata.overlapping(b, "2024-01-09 06:00:00", "2024-01-10 12:00:00"), "ts").select("event_id")
 
 
 @query(f"select location from ({POST}) where tag_key = 'event_type' and tag_value = 'purchase' and location between '20240110' and '20240112'")
@@ -383,14 +383,22 @@ def operation_stats(s, d):
     return rounded(aggregates.operation_stats(e, "operation"), "mean_latency", "p95_latency", "error_rate", "throughput")
 
 
-@query()
+@query(f"""with p as ({POST}), bits as (select distinct location, (h.a + i * h.b) % 9586 as bit from
+  (select location, {{'a': ('0x' || substr(m, 1, 16))::ubigint::hugeint, 'b': ('0x' || substr(m, 17, 16))::ubigint::hugeint}} h from (select location, md5(tag_key || '=' || tag_value) m from p)), range(7) r(i)),
+w as (select (('0x' || substr(md5('user_id=7'), 1, 16))::ubigint::hugeint + i * ('0x' || substr(md5('user_id=7'), 17, 16))::ubigint::hugeint) % 9586 as bit from range(7) r(i))
+select location from bits where bit in (select bit from w) group by location having count(distinct bit) = (select count(distinct bit) from w)""")
 def bloom_candidates(s, d):
     """Days whose Bloom filter may hold user 7; every day that does is among them."""
     size = metadata.BloomSize(1000)
     return metadata.might_have(metadata.bloom_filters(posts(s, d), size), "user_id", "7", size)
 
 
-@query()
+# IEEE bits of a double that isn't negative: its exponent and the rest of it after the leading one.
+IEEE = """case when v = 0 then 0 else (e + 1023)::bigint * 4503599627370496 + cast((v / power(2.0, e) - 1) * 4503599627370496 as bigint) end"""
+EXPONENT = "case when v = 0 then 0 when v < power(2.0, floor(log2(v))) then floor(log2(v)) - 1 when v >= power(2.0, floor(log2(v)) + 1) then floor(log2(v)) + 1 else floor(log2(v)) end"
+
+
+@query(f"select user_id, event_id, xor(b, coalesce(lag(b) over (partition by user_id order by t, event_id), 0)) as xor from (select *, {IEEE} b from (select *, {EXPONENT} e from ({SAMPLES})))")
 def xor_encode(s, d):
     return codecs.xor_encode(samples(s, d), "value", ("timestamp", "event_id"), "user_id").select("user_id", "event_id", "xor")
 
@@ -446,3 +454,6 @@ def histogram_counts(s, d):
 @query("select l_returnflag, start, start + 86400 * 30 as \"end\", max(l_tax) as value, count(*) as count from (select l_returnflag, l_tax, floor(epoch_us(l_shipdate) / 1e6 / 2592000) * 2592000 as start from lineitem) group by 1, 2")
 def window_max_30d(s, d):
     return grouping.tumbling(rel(s, d, "lineitem"), "30d", "l_tax", "max", tags=("l_returnflag",))
+
+
+from . import queries_storage  # noqa: E402,F401  registers the queries that write and read back
