@@ -70,7 +70,9 @@ def test_mix_follows_targets(stages):
     want = brute.targets(before)
     assert abs(sum(after.values()) - 1.5 * sum(before.values())) < 0.1 * sum(before.values())
     assert new.groupBy("doc_id").count().agg(F.max("count")).collect()[0][0] <= 2
-    assert all(abs(after[s] - want[s]) <= 2 * before[s] / 3 for s in before)
+    # a document is rounded to whole copies by its own draw: an error of half its words, at one standard deviation
+    spread = {r.source: r.v**0.5 / 2 for r in docs.groupBy("source").agg(F.sum(words * words).alias("v")).collect()}
+    assert all(abs(after.get(s, 0) - want[s]) <= 4 * spread[s] + 32 for s in before)
 
 
 def test_packed_pieces_cover_all(stages):
@@ -80,6 +82,34 @@ def test_packed_pieces_cover_all(stages):
     assert new.groupBy("sequence_id").agg(F.sum("length").alias("n")).agg(F.max("n")).collect()[0][0] <= 2048
 
 
+@pytest.mark.parametrize("n", range(len(P.STAGES)))
+def test_stages_take_odd_rows(spark, docs, rows, n):
+    """Nulls, empty and long texts, repeated rows, rows without an id and clashing columns: all but the last stage give documents."""
+    name, stage = P.STAGES[n]
+    out = stage(spark, docs, DATA)
+    if name == "packing":
+        assert out.agg(F.sum("length")).collect()[0][0] == sum(len(brute.ids(t, 1)) for _, t, _ in rows)
+        return
+    assert out.columns == P.COLUMNS and [f.dataType for f in out.schema][:2] == [docs.schema["doc_id"].dataType, docs.schema["text"].dataType]
+    got = {(r.doc_id, r.text or "") for r in out.collect()}
+    before = {(d, t or "") for d, t, _ in rows}
+    if name == "near duplicates":
+        first = {(d, c) for d, _, c in brute.jaccard([(d, t) for d, t, _ in rows])}
+        gone = {d for d, c in first if d is not None and c != d}
+        assert got == {(d, t) for d, t in before if d not in gone}
+    elif name == "repeated passages":
+        assert {d for d, _ in got} <= {d for d, _ in before} and (1, "") in got and (2, "") in got
+    else:
+        assert got <= before
+    if name == "toxicity":
+        assert {(1, ""), (2, ""), (4, "one two")} <= got
+
+
+@pytest.mark.parametrize("n", range(len(P.STAGES)))
+def test_stages_take_empty_tables(spark, docs, n):
+    assert P.STAGES[n][1](spark, docs.limit(0), DATA).count() == 0
+
+
 def test_run(spark, stages):
     assert P.run(spark, DATA).drop("sequence_id", "offset").exceptAll(stages[4][2].drop("sequence_id", "offset")).count() == 0
 

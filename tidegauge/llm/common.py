@@ -33,6 +33,8 @@ def shared_dir(spark: SparkSession) -> str:
     as in tests on one machine, a temporary folder takes its place.
     """
     at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at and not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
     if not at:
         app = spark.sparkContext.applicationId
         if app not in _own:
