@@ -129,14 +129,14 @@ def suite(rel: WideRelation, key: str, times: int = 3) -> DataFrame:
 def scored(marks: DataFrame, weights: DataFrame) -> DataFrame:
     """(option, score, rank) of marks (option, criterion, mark) under weights (criterion, weight): the weighted mean; equal scores by name."""
     total = marks.join(weights, "criterion").groupBy("option").agg((F.sum(F.col("mark") * F.col("weight")) / F.sum("weight")).alias("score"))
-    return total.withColumn("rank", F.row_number().over(W.orderBy(F.desc("score"), "option")))
+    return total.withColumn("rank", F.row_number().over(W.orderBy(F.desc("score"), "option")).cast("long"))
 
 
 def prioritized(plan: DataFrame, quick: float = 1.0) -> DataFrame:
     """Steps (name, impact, effort) by impact for effort, then impact, then name, with their ``rank`` and whether they are a ``quick_win``: of more impact than effort times ``quick``."""
     gain = F.col("impact") / F.col("effort")
     order = W.orderBy(gain.desc(), F.desc("impact"), "name")
-    return plan.withColumns({"gain": gain, "rank": F.row_number().over(order), "quick_win": gain > quick})
+    return plan.withColumns({"gain": gain, "rank": F.row_number().over(order).cast("long"), "quick_win": gain > quick})
 
 
 def markdown(df: DataFrame, most: int = 100) -> str:
