@@ -30,6 +30,8 @@ from .sequence_dedup import BLOB, blob, null_id, opened, sent
 PROBES, BITS_PER_ENTRY = 4, 9
 #: Levels per doubling of a count, for words and for pairs.
 LEVELS = (4, 2)
+#: Bits of a pair's hash. That two of a billion pairs share one is a thousand times less likely than the filter's own false hits.
+PAIR_BITS = 48
 #: Weight of the unigram distribution in a word's history.
 PRIOR = 60.0
 #: Tokens gathered before their counts or questions are sent on.
@@ -58,15 +60,15 @@ def tokens(buf: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def pairs_of(token: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Hashes of each token with the one before; ``first``: where texts begin."""
+    """Hashes, of PAIR_BITS bits, of each token with the one before; ``first``: where texts begin."""
     before = np.empty_like(token)
     before[1:] = token[:-1]
     before[first] = START
-    return mix(before * U(0x9E3779B97F4A7C15) + token) | U(1)
+    return mix(before * U(0x9E3779B97F4A7C15) + token) >> U(64 - PAIR_BITS)
 
 
 def shard_of(h: np.ndarray, shards: int) -> np.ndarray:
-    return ((h >> U(40)) % U(shards)).astype(np.int64)
+    return (h % U(shards)).astype(np.int64)
 
 
 def level(count: np.ndarray, per: int) -> np.ndarray:
@@ -196,7 +198,7 @@ def score(docs: DataFrame, folds: int = 7, held_fold: int = 2) -> DataFrame:
             for kind, x in enumerate(zip(*held, strict=True)):
                 h, c = np.unique(np.concatenate(x), return_counts=True)
                 for s, i in slots(shard_of(h, n), n):
-                    out.append(blob(s, np.array([kind, texts_ if kind == 0 and not out else 0]), h[i], c[i].astype(np.uint32)))
+                    out.append(blob(s, np.array([kind, texts_ if kind == 0 and not out else 0]), thinned(h[i]), c[i].astype(np.uint32)))
             return out
 
         for b in rows:
@@ -219,8 +221,8 @@ def score(docs: DataFrame, folds: int = 7, held_fold: int = 2) -> DataFrame:
             parts, texts_ = ([], []), 0
             for b in group:
                 for p in b.column(1).to_pylist():
-                    k, h, c = opened(p, np.int64, U, np.uint32)
-                    parts[k[0]].append((h, c))
+                    k, h, c = opened(p, np.int64, np.uint8, np.uint32)
+                    parts[k[0]].append((thickened(h), c))
                     texts_ += int(k[1])
             del group
             both = []
