@@ -296,9 +296,10 @@ def time_blocks(s, d):
 
 @query(f"select event_id from events where {DAY} in (select {DAY} from events group by {DAY} having min(ts) <= timestamp '2024-01-10 12:00:00' and max(ts) >= timestamp '2024-01-09 06:00:00')")
 def blocks_in_range(s, d):
-    e = rel(s, d).df.withColumn("day", F.date_format("ts", "yyyyMMdd"))
+    # blocks are days, so only the days of the range can reach into it: the scan reads no others
+    e = scan.timed(rel(s, d), "2024-01-09 00:00:00", "2024-01-10 23:59:59.999999").df.withColumn("day", F.date_format("ts", "yyyyMMdd"))
     b = metadata.blocks(e, F.col("ts").cast("string"), F.col("day"))
-    return metadata.pruned(e, "day", metadata.overlapping(b, "2024-01-09 06:00:00", "2024-01-10 12:00:00"), "ts").select("event_id")
+    return metadata.pruned(e, "day", metadata.overlapping(b, "2024-01-09 06:00:00", "2024-01-10 12:00:00").select("location")).select("event_id")
 
 
 @query(f"select location from ({POST}) where tag_key = 'event_type' and tag_value = 'purchase' and location between '20240110' and '20240112'")

@@ -130,7 +130,7 @@ def _plain_parts(line: Column) -> tuple[Column, Column, Column, Column]:
     head = F.split(part[0], ",")
 
     def pairs(items: Column) -> Column:
-        return F.transform(items, lambda p: F.struct(F.substring_index(p, "=", 1).alias("key"), F.regexp_replace(p, "^[^=]*=", "").alias("value")))
+        return F.transform(items, lambda p: F.struct(F.substring_index(p, "=", 1).alias("key"), F.substring_index(p, "=", -1).alias("value")))
 
     return head[0], pairs(F.slice(head, F.lit(2), F.greatest(F.size(head) - 1, F.lit(0)))), pairs(F.split(part[1], ",")), F.try_element_at(part, F.lit(3))
 
@@ -138,7 +138,7 @@ def _plain_parts(line: Column) -> tuple[Column, Column, Column, Column]:
 def _json_value(v: Column) -> Column:
     """A plain field value as JSON: truth by its first letter, integers without their mark, whole floats with a fraction."""
     first = F.lower(F.substring(v, 1, 1))
-    return F.when(first == "t", F.lit("true")).when(first == "f", F.lit("false")).when(v.endswith("i"), F.regexp_replace(v, "i$", "")).when((first == '"') | v.contains("."), v).otherwise(F.concat(v, F.lit(".0")))
+    return F.when(first == "t", F.lit("true")).when(first == "f", F.lit("false")).when(v.endswith("i"), F.rtrim(v, F.lit("i"))).when((first == '"') | v.contains("."), v).otherwise(F.concat(v, F.lit(".0")))
 
 
 def read(lines: DataFrame, column: str = "value", now: float | None = None) -> DataFrame:
@@ -152,12 +152,12 @@ def read(lines: DataFrame, column: str = "value", now: float | None = None) -> D
     name, tags, fields, digits = _plain_parts(F.col("line"))
     unit = F.create_map(*[F.lit(x) for k, v in UNITS.items() for x in (k, float(v))])
     seconds = digits.cast("double") / unit[F.length(digits)]
-    # each part is taken apart once a line, and not at all of lines that aren't plain
-    cut = line.withColumn("plain", F.coalesce(F.col("line").rlike(PLAIN), F.lit(False)))
-    cut = cut.withColumn("cut", F.when(F.col("plain"), F.struct(name.alias("name"), tags.alias("tags"), fields.alias("fields"), seconds.alias("at"))))
+    # a generator, so that a line is taken apart once, however often its parts are used; null if it isn't plain
+    parts = F.when(F.col("line").rlike(PLAIN), F.struct(name.alias("name"), tags.alias("tags"), fields.alias("fields"), seconds.alias("at")))
+    cut = line.select("line", F.explode(F.array(parts)).alias("cut"))
     soon = F.lit(True) if now is None else F.coalesce(F.col("cut.at") <= now + AHEAD, F.lit(True))
     once = (F.size(F.array_distinct("cut.tags.key")) == F.size("cut.tags")) & (F.size(F.array_distinct("cut.fields.key")) == F.size("cut.fields"))
-    easy = F.coalesce(F.col("plain") & once & soon, F.lit(False))
+    easy = F.coalesce(F.col("cut").isNotNull() & once & soon, F.lit(False))
     text = F.concat(F.lit("{"), F.array_join(F.transform("cut.fields", lambda e: F.concat(F.lit('"'), e["key"], F.lit('":'), _json_value(e["value"]))), ","), F.lit("}"))
     parsed = cut.where(easy).select(F.col("cut.name").alias("measurement"), F.col("cut.at").alias("timestamp"), F.map_from_entries("cut.tags").alias("tags"), text.alias("fields"), "line", F.lit(None).cast("string").alias("error"))
 
