@@ -1,5 +1,6 @@
 """Each operator against a plain version, on a table of awkward rows."""
 
+import math
 import random
 import zlib
 
@@ -396,6 +397,31 @@ def test_toxicity(spark, nothing):
     assert {r.score for r in toxicity.score(docs, labels.where("toxic = 0")).collect()} == {toxicity.Classifier(np.zeros(toxicity.FEATURES), -4.0).scores(np.empty(0, np.uint8), np.array([0]))[0]}
 
 
+def test_toxicity_of_odd_rows(spark, docs, rows):
+    """Nulls, empty and long texts, repeated rows, rows without an id and clashing columns score as their text does by itself."""
+    rng = random.Random(9)
+    more = [(1000 + i, " ".join(f"word{rng.randrange(900)}" for _ in range(30)) + " vileword" * (i % 4 == 0)) for i in range(300)]
+    docs = docs.unionByName(spark.createDataFrame(more, "doc_id long, text string"), allowMissingColumns=True)
+    rows = rows + [(d, t, None) for d, t in more]
+    labels = spark.createDataFrame([(i, 0) for i in range(90)] + [(1000 + i, int(i % 4 == 0)) for i in range(300)], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels)
+    assert np.any(model.weights)
+
+    def plain(text):
+        raw = (text or "").encode()
+        _, f = toxicity.features(np.frombuffer(raw, dtype=np.uint8), np.array([len(raw)]))
+        return 1 / (1 + math.exp(-(model.bias + sum(model.weights[i] for i in set(f.tolist())))))
+
+    def order(r):
+        return r[0] is None, r[0] or 0, r[2]
+
+    found = sorted((tuple(r) for r in toxicity.score(docs, labels).select("doc_id", "held_out", "score", "predicted").collect()), key=order)
+    want = sorted(((d, brute.crc(d) % 5 == 0, plain(t)) for d, t, _ in rows), key=order)
+    assert [r[:2] for r in found] == [r[:2] for r in want]
+    assert np.allclose([r[2] for r in found], [r[2] for r in want], rtol=1e-9)
+    assert all(r[3] == (r[2] >= 0.5) for r in found)
+
+
 def test_swapping_terms_changes_little():
     """A term that goes with the label by chance weighs less when swaps are penalised."""
     rng = random.Random(9)
