@@ -193,7 +193,9 @@ def test_voronoi_regions_in_spark(spark, monkeypatch):
 
 def test_suffix_dedup(docs, rows, nothing):
     columns = "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"
-    assert got(suffix_dedup.dedup(docs, batch=64), *columns) == sorted(brute.suffix_dedup(pairs(rows)), key=key)
+    want = sorted(brute.suffix_dedup(pairs(rows)), key=key)
+    assert got(suffix_dedup.dedup(docs, batch=64), *columns) == want
+    assert got(suffix_dedup.dedup(docs, batch=64, family_bytes=5000), *columns) == want  # shards in classes of windows
     assert suffix_dedup.dedup(nothing).count() == 0
 
 

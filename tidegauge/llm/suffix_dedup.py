@@ -5,7 +5,9 @@ with a smaller doc_id goes. Suffixes are dealt to shards by their anchors (see
 sequence_dedup); of a shard, documents come in batches by ascending doc_id.
 A batch gets a suffix array (its suffixes' leading ``window`` bytes, sorted),
 is merge-scanned against the existing levels, and what is new in it becomes a
-level; levels of about equal size merge. The family compares bytes. Stretches
+level; levels of about equal size merge. The family compares bytes. A shard of
+many windows, as a passage in very many documents makes it, has a family for
+each class of them, one after another, which bounds memory. Stretches
 equal to one of an earlier document are settled before it, by a 64-bit
 fingerprint, in their bucket or shard.
 """
@@ -20,13 +22,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import by_key, discard, ids_of, materialize, n_shards, pieces, prepare, runs, text_arrays, texts
-from .seqhash import BYTE_SYMBOLS, U, spans
+from .seqhash import BYTE_SYMBOLS, U, mix, spans
 from .sequence_dedup import BLOB, Anchors, ByDocument, beside, blob, covered, gathered, grouped, key_of, null_id, recurring, sent, slots
 
 #: Bytes of an anchor; a window of 50 bytes has 31 of these grams.
 GRAM = 20
 #: Suffixes of a batch, about.
 BATCH = 1 << 17
+#: Bytes of a family's suffixes, about: a shard with more is gone through in classes of windows, a family each.
+FAMILY_BYTES = 24 << 20
 
 
 class SuffixFamily:
@@ -38,13 +42,17 @@ class SuffixFamily:
     @staticmethod
     def scan(level: np.ndarray, new: np.ndarray) -> np.ndarray:
         """Which of the sorted, distinct strings ``new`` are in the level: one merge of the two."""
-        both = np.concatenate([level, new])
-        order = np.argsort(both, kind="stable")
-        both = both[order]
-        same = np.flatnonzero(both[1:] == both[:-1])
-        found = np.zeros(len(new), dtype=bool)
-        found[order[same + 1] - len(level)] = True
-        return found
+        at = np.searchsorted(level, new)
+        return (at < len(level)) & (level[np.minimum(at, len(level) - 1)] == new)
+
+    @staticmethod
+    def merged(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Two sorted levels without common strings as one."""
+        at = np.searchsorted(a, b) + np.arange(len(b))
+        out, old = np.empty(len(a) + len(b), dtype=a.dtype), np.ones(len(a) + len(b), dtype=bool)
+        out[at], old[at] = b, False
+        out[old] = a
+        return out
 
     def add(self, strings: np.ndarray, doc: np.ndarray) -> np.ndarray:
         """Takes a batch whose documents all come after those before; which of its strings occur in an earlier document."""
@@ -58,10 +66,11 @@ class SuffixFamily:
         hit = np.empty(len(strings), dtype=bool)
         size = np.diff(np.append(start, len(ranked)))
         hit[order] = np.repeat(old, size) | (doc[order] > np.repeat(least, size))
-        self.levels.append(distinct[~old])
+        if not old.all():
+            self.levels.append(distinct[~old])
         while len(self.levels) > 1 and 2 * len(self.levels[-1]) > len(self.levels[-2]):
             last = self.levels.pop()
-            self.levels[-1] = np.sort(np.concatenate([self.levels[-1], last]), kind="stable")
+            self.levels[-1] = self.merged(self.levels[-1], last)
         return hit
 
 
@@ -140,7 +149,15 @@ class Stretches:
         yield from sent(out)
 
 
-def judge(window: int, buckets: int, batch: int):
+def class_of(raw: np.ndarray, where: np.ndarray, window: int, classes: int) -> np.ndarray:
+    """A class of each window by some of its bytes: equal windows are in one class."""
+    h = np.zeros(len(where), dtype=U)
+    for at in range(0, window, 7):
+        h = mix(h + raw[where + at])
+    return h % U(classes)
+
+
+def judge(window: int, buckets: int, batch: int, family_bytes: int):
     """A shard's stretches to marks: runs of window starts to remove, for the documents' buckets."""
 
     def fn(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,28 +178,38 @@ def judge(window: int, buckets: int, batch: int):
             order = order[np.argsort(doc[order], kind="stable")]
             n = size[order] - window + 1  # windows
             upto = np.cumsum(n)
-            family, i = SuffixFamily(), 0
             out = [(key[settled], bucket[settled], first[settled].astype(np.int64), first[settled].astype(np.int64) + size[settled] - window)]
             strings = np.lib.stride_tricks.sliding_window_view(raw, window)
-            while i < len(order):
-                j = int(np.searchsorted(upto, (upto[i - 1] if i else 0) + batch, "right"))
-                j = max(j, i + 1)
-                while j < len(order) and doc[order[j]] == doc[order[j - 1]]:
-                    j += 1  # no document is in two batches
-                o, m = order[i:j], n[i:j]
-                base = np.cumsum(m) - m
-                inner = np.arange(m.sum()) - np.repeat(base, m)
-                where = np.repeat(begin[o], m) + inner
-                hit = family.add(np.ascontiguousarray(strings[where]).view(f"S{window}").ravel(), np.repeat(doc[o], m))
-                at = np.flatnonzero(hit)
-                owner = np.repeat(np.arange(len(o)), m)[at]
-                pos = first[o][owner].astype(np.int64) + inner[at]
-                if len(at):
-                    new = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (pos[1:] != pos[:-1] + 1)])
-                    stop = np.append(new[1:], len(at)) - 1
-                    out.append((key[o][owner[new]], bucket[o][owner[new]], pos[new], pos[stop]))
-                i = j
+            classes = max(1, -(-int(n.sum()) * window // family_bytes))
+            for c in range(classes):
+                family, i = SuffixFamily(), 0
+                while i < len(order):
+                    j = int(np.searchsorted(upto, (upto[i - 1] if i else 0) + batch * min(classes, 8), "right"))
+                    j = max(j, i + 1)
+                    while j < len(order) and doc[order[j]] == doc[order[j - 1]]:
+                        j += 1  # no document is in two batches
+                    o, m = order[i:j], n[i:j]
+                    i = j
+                    owner = np.repeat(np.arange(len(o)), m)
+                    inner = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+                    where = begin[o][owner] + inner
+                    if classes > 1:
+                        mine = class_of(raw, where, window, classes) == c
+                        owner, inner, where = owner[mine], inner[mine], where[mine]
+                    if not len(where):
+                        continue
+                    at = np.flatnonzero(family.add(np.ascontiguousarray(strings[where]).view(f"S{window}").ravel(), doc[o][owner]))
+                    owner, pos = owner[at], first[o][owner[at]].astype(np.int64) + inner[at]
+                    if len(at):
+                        new = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (pos[1:] != pos[:-1] + 1)])
+                        stop = np.append(new[1:], len(at)) - 1
+                        out.append((key[o][owner[new]], bucket[o][owner[new]], pos[new], pos[stop]))
             k, b, a, z = (np.concatenate(x) for x in zip(*out, strict=True))
+            if classes > 1 and len(k):  # neighbouring windows come from several classes
+                at = np.lexsort((a, k))
+                k, b, a, z = k[at], b[at], a[at], z[at]
+                new = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]) | (a[1:] > z[:-1] + 1)])
+                k, b, a, z = k[new], b[new], a[new], np.maximum.reduceat(z, new)
             yield from sent([blob(s, k[i], a[i].astype(np.uint32), z[i].astype(np.uint32)) for s, i in slots(b.astype(np.int64), buckets)])
 
     return fn
@@ -229,7 +256,7 @@ class Cut:
         return iter(())
 
 
-def dedup(docs: DataFrame, window: int = 50, gram: int = GRAM, batch: int = BATCH, keep_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+def dedup(docs: DataFrame, window: int = 50, gram: int = GRAM, batch: int = BATCH, family_bytes: int = FAMILY_BYTES, keep_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
 
     With ``keep_text`` also ``text``, the bytes that are left as UTF-8 (parts of
@@ -244,7 +271,7 @@ def dedup(docs: DataFrame, window: int = 50, gram: int = GRAM, batch: int = BATC
     anchors = Anchors(bytes_as_symbols, gram, window)
     again = materialize(recurring(d, anchors, buckets), "recurring")
     stretches = beside(d, again, buckets, lambda bucket: Stretches(bucket, anchors, buckets), BLOB)
-    marks = materialize(by_key(stretches, n, "shard", judge(window, buckets, batch), BLOB).withColumnRenamed("shard", "bucket"), "marks")
+    marks = materialize(by_key(stretches, n, "shard", judge(window, buckets, batch, family_bytes), BLOB).withColumnRenamed("shard", "bucket"), "marks")
     discard(again)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     if keep_text:
