@@ -7,7 +7,8 @@ A batch gets a suffix array (its suffixes' leading ``window`` bytes, sorted),
 is merge-scanned against the existing levels, and what is new in it becomes a
 level; levels of about equal size merge. The family compares bytes. A shard of
 many windows, as a passage in very many documents makes it, has a family for
-each class of them, one after another, which bounds memory. Stretches
+each class of them, one after another, which bounds memory; a window's class is
+found once, so that the work stays in proportion to the windows. Stretches
 equal to one of an earlier document are settled before it, by a 64-bit
 fingerprint, in their bucket or shard.
 """
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import by_key, discard, ids_of, materialize, n_shards, pieces, prepare, runs, text_arrays, texts
-from .seqhash import BYTE_SYMBOLS, U, mix, spans
+from .seqhash import BYTE_SYMBOLS, U, grams, mix, spans
 from .sequence_dedup import BLOB, Anchors, ByDocument, beside, blob, covered, gathered, grouped, key_of, null_id, recurring, sent, slots
 
 #: Bytes of an anchor; a window of 50 bytes has 31 of these grams.
@@ -31,6 +32,10 @@ GRAM = 20
 BATCH = 1 << 17
 #: Bytes of a family's suffixes, about: a shard with more is gone through in classes of windows, a family each.
 FAMILY_BYTES = 24 << 20
+#: Bytes of text behind one shard or bucket at most.
+SHARD_BYTES = 32 << 20
+#: Windows of classes that are taken apart at a time, about.
+HELD = 4 << 20
 
 
 class SuffixFamily:
@@ -149,12 +154,52 @@ class Stretches:
         yield from sent(out)
 
 
-def class_of(raw: np.ndarray, where: np.ndarray, window: int, classes: int) -> np.ndarray:
-    """A class of each window by some of its bytes: equal windows are in one class."""
-    h = np.zeros(len(where), dtype=U)
-    for at in range(0, window, 7):
-        h = mix(h + raw[where + at])
-    return h % U(classes)
+def classes_of(raw: np.ndarray, begin: np.ndarray, n: np.ndarray, window: int, classes: int) -> np.ndarray:
+    """A class of each window of stretches that begin there and have n windows each, by all its bytes: equal windows are in one class."""
+    if classes == 1:
+        return np.zeros(n.sum(), dtype=np.uint16)
+    out = [np.empty(0, dtype=np.uint16)]
+    for i, j in pieces(np.append(0, np.cumsum(n + window - 1))):
+        owner, inner = steps(n[i:j] + window - 1)
+        g = grams(BYTE_SYMBOLS[raw[begin[i:j][owner] + inner]], window)
+        owner, inner = steps(n[i:j])
+        upto = np.cumsum(n[i:j] + window - 1) - (n[i:j] + window - 1)
+        out.append((mix(g[upto[owner] + inner]) % U(classes)).astype(np.uint16 if classes <= 1 << 16 else np.uint32))
+    return np.concatenate(out)
+
+
+def steps(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(i, 0), ..., (i, n[i] - 1) for each i."""
+    owner = np.repeat(np.arange(len(n)), n)
+    return owner, np.arange(len(owner)) - (np.cumsum(n) - n)[owner]
+
+
+def by_class(kind: np.ndarray, n: np.ndarray, classes: int, held: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of each class that occurs: the stretches and places in them of its windows, in their order.
+
+    About ``held`` windows are taken apart at a time, or those of one class.
+    """
+    count = np.cumsum(np.bincount(kind, minlength=classes))
+    upto = np.append(0, np.cumsum(n))
+    lo = 0
+    while lo < classes:
+        hi = max(lo + 1, int(np.searchsorted(count, (count[lo - 1] if lo else 0) + held, "right")))
+        found = [[] for _ in range(lo, hi)]
+        for i, j in pieces(upto):
+            part = kind[upto[i] : upto[j]]
+            at = np.flatnonzero((part >= lo) & (part < hi))
+            at = at[np.argsort(part[at], kind="stable")]
+            cut = np.searchsorted(part[at], np.arange(lo, hi + 1))
+            owner = np.searchsorted(upto, at + upto[i], "right") - 1
+            inner = (at + upto[i] - upto[owner]).astype(np.uint16)
+            owner = owner.astype(np.uint32)
+            for c in np.flatnonzero(cut[1:] > cut[:-1]):
+                found[c].append((owner[cut[c] : cut[c + 1]], inner[cut[c] : cut[c + 1]]))
+        while found:
+            one = found.pop()
+            if one:
+                yield tuple(np.concatenate(x).astype(np.int64) for x in zip(*one, strict=True))
+        lo = hi
 
 
 def judge(window: int, buckets: int, batch: int, family_bytes: int):
@@ -177,33 +222,24 @@ def judge(window: int, buckets: int, batch: int, family_bytes: int):
             order = np.flatnonzero(doc == least)
             order = order[np.argsort(doc[order], kind="stable")]
             n = size[order] - window + 1  # windows
-            upto = np.cumsum(n)
             out = [(key[settled], bucket[settled], first[settled].astype(np.int64), first[settled].astype(np.int64) + size[settled] - window)]
             strings = np.lib.stride_tricks.sliding_window_view(raw, window)
             classes = max(1, -(-int(n.sum()) * window // family_bytes))
-            for c in range(classes):
+            kind = classes_of(raw, begin[order], n, window, classes)
+            for owner, inner in by_class(kind, n, classes, HELD):
                 family, i = SuffixFamily(), 0
-                while i < len(order):
-                    j = int(np.searchsorted(upto, (upto[i - 1] if i else 0) + batch * min(classes, 8), "right"))
-                    j = max(j, i + 1)
-                    while j < len(order) and doc[order[j]] == doc[order[j - 1]]:
-                        j += 1  # no document is in two batches
-                    o, m = order[i:j], n[i:j]
+                owner = order[owner]
+                of = doc[owner]
+                while i < len(of):
+                    j = min(i + batch, len(of))
+                    j = int(np.searchsorted(of, of[j - 1], "right"))  # no document is in two batches
+                    at = i + np.flatnonzero(family.add(np.ascontiguousarray(strings[begin[owner[i:j]] + inner[i:j]]).view(f"S{window}").ravel(), of[i:j]))
                     i = j
-                    owner = np.repeat(np.arange(len(o)), m)
-                    inner = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
-                    where = begin[o][owner] + inner
-                    if classes > 1:
-                        mine = class_of(raw, where, window, classes) == c
-                        owner, inner, where = owner[mine], inner[mine], where[mine]
-                    if not len(where):
-                        continue
-                    at = np.flatnonzero(family.add(np.ascontiguousarray(strings[where]).view(f"S{window}").ravel(), doc[o][owner]))
-                    owner, pos = owner[at], first[o][owner[at]].astype(np.int64) + inner[at]
                     if len(at):
-                        new = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (pos[1:] != pos[:-1] + 1)])
+                        o, pos = owner[at], first[owner[at]].astype(np.int64) + inner[at]
+                        new = np.flatnonzero(np.r_[True, (o[1:] != o[:-1]) | (pos[1:] != pos[:-1] + 1)])
                         stop = np.append(new[1:], len(at)) - 1
-                        out.append((key[o][owner[new]], bucket[o][owner[new]], pos[new], pos[stop]))
+                        out.append((key[o[new]], bucket[o[new]], pos[new], pos[stop]))
             k, b, a, z = (np.concatenate(x) for x in zip(*out, strict=True))
             if classes > 1 and len(k):  # neighbouring windows come from several classes
                 at = np.lexsort((a, k))
@@ -267,7 +303,7 @@ def dedup(docs: DataFrame, window: int = 50, gram: int = GRAM, batch: int = BATC
     spark = docs.sparkSession
     prepare(spark)
     d = texts(docs, *carry)
-    n = buckets = n_shards(d)
+    n = buckets = n_shards(d, SHARD_BYTES)
     anchors = Anchors(bytes_as_symbols, gram, window)
     again = materialize(recurring(d, anchors, buckets), "recurring")
     stretches = beside(d, again, buckets, lambda bucket: Stretches(bucket, anchors, buckets), BLOB)
