@@ -68,6 +68,25 @@ def test_packing(docs, rows, nothing):
     assert packing.pack(nothing, brute.TOKENIZER, end_id=1).count() == 0
 
 
+def test_packing_leaves_no_chunks_in_workers(spark, docs):
+    def known(batches):
+        from tidegauge.llm import tokens
+
+        for _ in batches:
+            pass
+        yield pa.RecordBatch.from_pydict({"n": [sum(len(e.number) for e in tokens._encoders.values())]})
+
+    assert packing.pack(docs.repartition(8), brute.TOKENIZER, end_id=1).count() > 0
+    assert [r.n for r in spark.range(0, 8, 1, 8).mapInArrow(known, "n long").collect()] == [0] * 8
+
+
+def test_short_documents_are_packed_by_number_too(spark):
+    few = spark.range(30_000).selectExpr("id AS doc_id", "'' AS text").coalesce(1)
+    pieces = packing.pack(few, brute.TOKENIZER, end_id=1, capacity=256, window_tokens=1 << 16).collect()
+    assert sorted(p.doc_id for p in pieces) == list(range(30_000)) and len({p.sequence_id for p in pieces}) == -(-30_000 // 256)
+    assert len({p.sequence_id >> 26 for p in pieces if p.sequence_id < 1 << 62}) > 1
+
+
 def test_closest_fill_is_closest():
     rng = random.Random(5)
     for _ in range(200):

@@ -18,11 +18,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import n_parts, pieces, prepare, text_arrays, texts
+from .common import give_back, n_parts, pieces, prepare, text_arrays, texts
 from .tokens import encoder
 
 #: Ids held at once: a task packs its documents window by window.
 WINDOW_TOKENS = 1 << 21
+#: What a document counts for in its window at least: short ones take up memory as objects, not as ids.
+LEAST_TOKENS = 64
+#: Bytes of an Arrow batch: texts are encoded in smaller pieces anyway.
+BATCH_BYTES = 2 << 20
 #: Partitions whose sequences with slack are packed once more, together.
 TOGETHER = 64
 
@@ -97,7 +101,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 2048, win
     anew. Repeated rows are documents of their own; an empty table gives none.
     """
     spark = docs.sparkSession
-    prepare(spark)
+    prepare(spark, BATCH_BYTES)
 
     def window(number: int, ids: list, tokens: list[np.ndarray]) -> tuple[pa.RecordBatch, pa.RecordBatch]:
         rows, rest = [], []  # (document, start, length, sequence, offset)
@@ -125,6 +129,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 2048, win
         return pa.RecordBatch.from_arrays([pa.array([ids[x] for x in d], pa.int64()), pa.array(s), pa.array(n), pa.array(crc, pa.int64()), pa.array([len(tokens[x]) for x in d], pa.int64()), pa.array(q + number), pa.array(o)], names=[f.split()[0] for f in FIELDS.split(", ")])
 
     def first(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()  # what the worker's earlier tasks left
         part, enc, w = TaskContext.get().partitionId(), encoder(tokenizer), 0
         ids, tokens, held = [], [], 0
 
@@ -141,11 +146,13 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 2048, win
                 ids += b.column(0).slice(i, j - i).to_pylist()
                 for t in enc.encode(b.column(1).slice(i, j - i).to_pylist()):
                     tokens.append(np.append(t, np.uint32(end_id)))
-                    held += len(tokens[-1])
+                    held += max(len(tokens[-1]), LEAST_TOKENS)
                 if held >= window_tokens:
                     yield from flush()
         if ids:
             yield from flush()
+        enc.clear()
+        give_back()
 
     def second(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = []
